@@ -82,20 +82,19 @@ class LineRuns:
         for name in (x for level in self.levels for x in level):
             self.spark.sql(f"DROP TABLE {name}")
 
-    @staticmethod
-    def _merged(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def _union(self, names: list[str]) -> DataFrame:
+    def _merged(self, names: list[str]) -> DataFrame:
+        """Runs merged into one: a full outer merge join keeps their bucketing, so no row moves."""
         out = self.spark.table(names[0])
         for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
+            old, new = out.alias("old"), self.spark.table(name).hint("merge").alias("new")
+            n_docs = F.coalesce("old.n_docs", F.lit(0)) + F.coalesce("new.n_docs", F.lit(0))
+            out = old.join(new, "hash", "full").select("hash", n_docs.alias("n_docs"), F.greatest("old.last_doc", "new.last_doc").alias("last_doc"))
         return out
 
     def contents(self) -> DataFrame | None:
         """One row per hash over all runs, None before the first batch."""
         names = [x for level in self.levels for x in level]
-        return (self._merged(self._union(names)) if len(names) > 1 else self.spark.table(names[0])) if names else None
+        return self._merged(names) if names else None
 
     def new_entries(self, entries: DataFrame, settled: int | None = None) -> DataFrame:
         """The batch's entries that no run holds: a merge anti-join with each run in turn.
@@ -121,7 +120,7 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             full = self.levels[level]
-            names, self.levels[level], level = [self._write(self._merged(self._union(full)))], [], level + 1
+            names, self.levels[level], level = [self._write(self._merged(full))], [], level + 1
             for name in full:
                 self._drop(name)
 
