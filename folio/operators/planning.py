@@ -9,16 +9,24 @@ from folio.functions import paths as P
 from folio.schema import MAX_BYTES, PIPELINE_VERSION, TRIVIAL_IMAGE_BYTES, TRIVIAL_IMAGE_PIXELS
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it and wherever a filter is pushed to."""
+    return F.transform(F.array(value), body)[0]
+
+
 def magic_kind(head: Column) -> Column:
     """What a file's first bytes say: a kind, container (a zip archive) or null."""
-    code = F.hex(F.substring(head, 1, 64))
-    brand = F.decode(F.substring(head, 9, 4), "ISO-8859-1")
+    return let(F.hex(F.substring(head, 1, 64)), _kind_of_hex)
+
+
+def _kind_of_hex(code: Column) -> Column:
+    brands = ("heic", "heix", "hevc", "mif1", "msf1", "heim", "heis")
     return (
         F.when(code.startswith("255044462D"), "pdf")
         .when(code.startswith("89504E470D0A1A0A") | code.startswith("FFD8FF") | code.startswith("474946383761") | code.startswith("474946383961"), "image")
         .when(code.startswith("52494646") & (F.substring(code, 17, 8) == "57454250"), "image")
         .when(code.startswith("49492A00") | code.startswith("4D4D002A"), "image")
-        .when((F.substring(code, 9, 8) == "66747970") & brand.isin("heic", "heix", "hevc", "mif1", "msf1", "heim", "heis"), "image")
+        .when((F.substring(code, 9, 8) == "66747970") & F.substring(code, 17, 8).isin(*(b.encode().hex().upper() for b in brands)), "image")
         .when(code.startswith("504B0304"), "container")
     )
 
@@ -37,25 +45,29 @@ def identified(files: DataFrame) -> DataFrame:
     The first bytes win over the extension, with a note where both say something else; without them only plain texts and
     unsupported formats are trusted to their extension. Empty files are unknown.
     """
-    magic = F.when(magic_kind(F.col("head")) == "container", F.coalesce("container", F.lit("unknown"))).otherwise(magic_kind(F.col("head")))
-    by_name = P.kind_by_extension(F.col("rel"))
+    magic = let(magic_kind(F.col("head")), lambda m: F.when(m == "container", F.coalesce("container", F.lit("unknown"))).otherwise(m))
+    said = F.struct(magic.alias("magic"), P.kind_by_extension(F.col("rel")).alias("name"))
     empty = F.coalesce(F.length("head"), F.lit(0)) == 0
-    kind = F.when(empty, "unknown").when(magic.isNotNull(), magic).when(by_name.isin("plaintext", "unsupported"), by_name).otherwise("unknown")
-    note = F.when(empty, "empty").when(magic.isNotNull() & by_name.isNotNull() & (by_name != magic), "mismatch")
+    kind = let(said, lambda x: F.when(empty, "unknown").when(x["magic"].isNotNull(), x["magic"]).when(x["name"].isin("plaintext", "unsupported"), x["name"]).otherwise("unknown"))
+    note = let(said, lambda x: F.when(empty, "empty").when(x["magic"].isNotNull() & x["name"].isNotNull() & (x["name"] != x["magic"]), "mismatch"))
     return files.withColumn("kind", kind).withColumn("notes", F.filter(F.array(note), lambda x: x.isNotNull()))
 
 
 def classified(files: DataFrame, include_images: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Adds action and reason to files (kind, bytes, pixels)."""
-    image = F.col("kind") == "image"
     trivial = (F.col("bytes") < TRIVIAL_IMAGE_BYTES) | F.coalesce(F.col("pixels") < TRIVIAL_IMAGE_PIXELS, F.lit(False))
-    reason = (
-        F.when(F.col("bytes") > max_bytes, "too_large")
-        .when(F.col("kind") == "unknown", "unknown_type")
-        .when(F.col("kind") == "unsupported", "unsupported")
-        .when(image & (not include_images), "images_disabled")
-        .when(image & trivial, "trivial_image")
-    )
+
+    def why(kind: Column) -> Column:
+        image = kind == "image"
+        return (
+            F.when(F.col("bytes") > max_bytes, "too_large")
+            .when(kind == "unknown", "unknown_type")
+            .when(kind == "unsupported", "unsupported")
+            .when(image & (not include_images), "images_disabled")
+            .when(image & trivial, "trivial_image")
+        )
+
+    reason = let(F.col("kind"), why)
     action = F.when(reason.isNotNull(), "skip").when(F.col("kind") == "plaintext", "register").otherwise("extract")
     return files.withColumn("reason", reason).withColumn("action", action)
 

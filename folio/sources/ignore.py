@@ -49,7 +49,7 @@ class IgnoreRules:
         for line in lines:
             line = line.rstrip("\n")
             negated = line.startswith("!")
-            found = to_regex(line[1:] if negated else line.removeprefix("\\") if line.startswith(("\\!", "\\#")) else line)
+            found = to_regex(line[1:] if negated else line)
             if found:
                 self.rules.append((not negated, found))
 
