@@ -24,6 +24,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 LEAST_POINTS, LEAST_DOCS = 40, 5
 #: Batches that one table is taken in, and runs of a level that are compacted into one of the next.
 BATCHES, FANOUT = 4, 2
+#: Lines for each bucket of the runs, about: a run is one file a bucket.
+BUCKET_LINES = 250_000
 
 LINE_SCHEMA = "batch int, doc_id long, version long, line_no int, hash binary"
 
@@ -145,8 +147,8 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int =
     """(doc_id, version, dropped: sorted line numbers) of the documents that lose lines, and the table's size in bytes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    found = scratch.write(lines(docs, batches, least_points), "lines", "batch")
-    runs = LineRuns(spark, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), fanout)
+    found = scratch.write(lines(docs, batches, least_points), "lines")
+    runs = LineRuns(spark, max(1, -(-found.count() // BUCKET_LINES)), fanout)
     for i in range(batches):
         runs.add(runs.new_entries(entries_of(found.where(F.col("batch") == i)), settled=least_docs))
     known = runs.contents()
