@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,13 @@ from folio.llm.util import Generations, bounded_batches, only, text_batches
 #: Buckets of n-grams, embedding length, n-gram lengths, words of a window.
 BUCKETS, WIDTH, NGRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 3
 #: Labelled documents of each class that training reads at most, in the order of a hash, and the longest of them in characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_LENGTH = 1500, 2500, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_LENGTH = 800, 1600, 20_000
 #: Passes over whole documents and over worst windows, such windows of a document, step, weight decay.
 WARM, PASSES, WORST, STEP, DECAY = 25, 60, 2, 0.05, 1e-4
 #: Training documents of at least so many that must hold an n-gram for it to be trained.
 LEAST_DOCS = 3
+#: Documents whose words are in memory as vectors at a time in training.
+CHUNK_DOCS = 200
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 CACHED_WORDS = 400_000
 
@@ -77,67 +80,72 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), 30.0 if share else -30.0)
     numbers: dict[str, int] = {}
-    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int64) for t in texts]
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int32) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
     docs, labels = [docs[i] for i in keep], labels[keep]
-    ids = [np.array(ngram_ids(w)) for w in numbers]
-    lengths = np.array([len(x) for x in ids])
-    grams, word_of = np.concatenate(ids), np.repeat(np.arange(len(ids)), lengths)
+    lengths, flat = array("i"), array("i")
+    for word in numbers:
+        own = ngram_ids(word)
+        lengths.append(len(own))
+        flat.extend(own)
+    lengths, grams = np.array(lengths, np.int64), np.array(flat)
+    del numbers, flat
+    begins = np.cumsum(lengths) - lengths
+    gram_places = lambda own: np.repeat(begins[own] - (np.cumsum(lengths[own]) - lengths[own]), lengths[own]) + np.arange(lengths[own].sum())
     # N-grams of few documents would only learn those documents by heart.
     seen = np.zeros(BUCKETS, np.int32)
-    begins = np.cumsum(lengths) - lengths
     for d in docs:
-        own = np.unique(d)
-        seen[np.unique(np.concatenate([grams[begins[w] : begins[w] + lengths[w]] for w in own.tolist()]))] += 1
+        seen[np.unique(grams[gram_places(np.unique(d))])] += 1
     trained = seen >= min(LEAST_DOCS, len(docs))
     rng = np.random.default_rng(0)
-    embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)) * trained[:, None]
-    soft = rng.normal(0, 0.1, (WIDTH, 2))
-    offset = np.zeros(2)
+    embed = (rng.normal(0, 0.1, (BUCKETS, WIDTH)) * trained[:, None]).astype(np.float32)
+    soft = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
+    offset = np.zeros(2, np.float32)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (embed, soft, offset)]
     weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))  # both classes count alike
-    words = np.concatenate(docs)
-    doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    first = np.cumsum([0] + [len(d) for d in docs])
+    per_word = np.zeros(len(lengths), np.float32)
+
+    def bag(i: int, warm: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A document's words in play and their weights: every distinct word, or those of the WORST most toxic windows."""
+        d = docs[i]
+        if warm:
+            own = np.unique(d)
+            return own, np.full(len(own), 1 / len(own))
+        means, n = windowed(per_word[d]), min(WINDOW, len(d))
+        worst = np.argpartition(-means, min(WORST, len(means)) - 1)[:WORST]
+        return d[(worst[:, None] + np.arange(n)).ravel()], np.full(n * len(worst), 1 / (n * len(worst)))
+
     for turn in range(1, WARM + PASSES + 1):
-        if turn <= WARM:
-            # Every distinct word of a document once: (document, word) with equal weights.
-            if turn == 1:
-                pairs = np.unique(np.stack([doc_of, words]), axis=1)
-                share_of = 1 / np.bincount(pairs[0], minlength=len(docs))[pairs[0]]
-            at_doc, at_word, at_share = pairs[0], pairs[1], share_of
-        else:
+        if turn > WARM:
             per_gram = embed @ (soft[:, 1] - soft[:, 0])
-            per_word = np.add.reduceat(per_gram[grams], begins) / lengths
-            at_doc, at_word, at_share = [], [], []
-            for i in range(len(docs)):
-                # The WORST most toxic windows share the document's label.
-                means = windowed(per_word[words[first[i] : first[i + 1]]])
-                n = min(WINDOW, len(docs[i]))
-                worst = np.argpartition(-means, min(WORST, len(means)) - 1)[:WORST]
-                at_doc += [i] * (n * len(worst))
-                at_word += docs[i][(worst[:, None] + np.arange(n)).ravel()].tolist()
-                at_share += [1 / (n * len(worst))] * (n * len(worst))
-            at_doc, at_word, at_share = np.array(at_doc), np.array(at_word), np.array(at_share)
-        # Only words in play: their embeddings, then documents as weighted sums.
-        own, place = np.unique(at_word, return_inverse=True)
-        own_lengths = lengths[own]
-        own_begins = np.cumsum(own_lengths) - own_lengths
-        own_grams = grams[np.repeat(begins[own] - own_begins, own_lengths) + np.arange(own_lengths.sum())]
-        vectors = np.add.reduceat(embed[own_grams], own_begins, axis=0) / own_lengths[:, None]
-        order = np.argsort(at_doc, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], at_doc[order][1:] != at_doc[order][:-1]]))
-        bags = np.add.reduceat(vectors[place[order]] * at_share[order][:, None], cuts, axis=0)
-        logits = bags @ soft + offset
-        chance = np.exp(logits - logits.max(axis=1, keepdims=True))
-        chance /= chance.sum(axis=1, keepdims=True)
-        error = (chance - np.stack([1 - labels, labels], axis=1)) * weight[:, None]
-        back = error @ soft.T
-        to_word = np.zeros_like(vectors)
-        np.add.at(to_word, place, back[at_doc] * at_share[:, None])
-        to_gram = np.repeat(to_word / own_lengths[:, None], own_lengths, axis=0)
-        down = np.stack([np.bincount(own_grams, to_gram[:, k], BUCKETS) for k in range(WIDTH)], axis=1) * trained[:, None]
-        for x, slope, (mean, square) in zip((embed, soft, offset), (down + DECAY * embed, bags.T @ error + DECAY * soft, error.sum(axis=0)), moments, strict=True):
+            for w in range(0, len(lengths), 50_000):
+                own = lengths[w : w + 50_000]
+                first = int(begins[w])
+                per_word[w : w + 50_000] = np.add.reduceat(per_gram[grams[first : first + int(own.sum())]], begins[w : w + 50_000] - first) / own
+        down, soft_down, offset_down = np.zeros_like(embed), DECAY * soft, np.zeros(2)
+        step = CHUNK_DOCS if turn <= WARM else len(docs)
+        for begin in range(0, len(docs), step):
+            bags = [bag(i, turn <= WARM) for i in range(begin, min(begin + step, len(docs)))]
+            sizes = np.array([len(x) for x, _ in bags])
+            at_doc, at_word, at_share = np.repeat(np.arange(len(bags)), sizes), np.concatenate([x for x, _ in bags]), np.concatenate([x for _, x in bags]).astype(np.float32)
+            own, place = np.unique(at_word, return_inverse=True)
+            own_grams, own_lengths = grams[gram_places(own)], lengths[own]
+            own_begins = np.cumsum(own_lengths) - own_lengths
+            vectors = np.add.reduceat(embed[own_grams], own_begins, axis=0) / own_lengths[:, None].astype(np.float32)
+            mixed = np.add.reduceat(vectors[place] * at_share[:, None], np.cumsum(sizes) - sizes, axis=0)
+            logits = mixed @ soft + offset
+            chance = np.exp(logits - logits.max(axis=1, keepdims=True))
+            chance /= chance.sum(axis=1, keepdims=True)
+            truth = labels[begin : begin + len(bags)]
+            error = ((chance - np.stack([1 - truth, truth], axis=1)) * weight[begin : begin + len(bags), None]).astype(np.float32)
+            to_doc = error @ soft.T
+            for k in range(WIDTH):
+                to_word = np.bincount(place, to_doc[at_doc, k] * at_share, len(own)) / own_lengths
+                down[:, k] += np.bincount(own_grams, np.repeat(to_word, own_lengths), BUCKETS)
+            soft_down = soft_down + mixed.T @ error
+            offset_down = offset_down + error.sum(axis=0)
+        down = down * trained[:, None] + DECAY * embed
+        for x, slope, (mean, square) in zip((embed, soft, offset), (down, soft_down, offset_down), moments, strict=True):
             mean += 0.1 * (slope - mean)
             square += 0.01 * (slope * slope - square)
             x -= STEP * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
@@ -196,7 +204,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, all columns, that score under 0.5: filtered where they are read, no row moves."""
-    return _rated(docs, model, lambda part, scores: part.filter(pa.array([x < 0.5 for x in scores], pa.bool_())), docs.schema)
+    plain = docs.toDF(*("text" if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)))  # names may hold dots
+    return _rated(plain, model, lambda part, scores: part.filter(pa.array([x < 0.5 for x in scores], pa.bool_())), plain.schema).toDF(*docs.columns)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
