@@ -91,10 +91,10 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [self.parts(x) for x in texts]
-        self.learn({x for parts in split for x in parts})
+        self.learn(set().union(*split))
         known = self.known.now
         for parts in split:
-            yield b"".join([known[x] for x in parts])
+            yield b"".join(map(known.__getitem__, parts))
 
 
 @cache
