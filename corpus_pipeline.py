@@ -33,8 +33,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, directly or over others, the one with the smallest doc_id stays."""
-    return _without(docs, simhash.near_groups(docs).where("doc_id <> component_id"), "near")
+    """Of documents with a similarity of 0.8 or more in five-word shingles, directly or over others, the smallest doc_id stays."""
+    groups = simhash.similar_groups(docs)
+    return _without(docs, groups.where("node <> label").withColumnRenamed("node", "doc_id"), "near")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ Encodings of chunks are kept in a bounded store; a text's ids are its chunks' id
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -150,7 +151,19 @@ class Bpe:
         return CHUNK.findall(text)
 
     def learn(self, distinct: set[bytes]) -> None:
-        """Encodes the chunks that aren't known yet; the store stays bounded."""
+        """Encodes the chunks that aren't known yet; the store stays bounded.
+
+        Nothing here is part of a cycle, so the collector would only walk over the many new tuples in vain.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn(distinct)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _learn(self, distinct: set[bytes]) -> None:
         missing = self.known.missing(distinct)
         words = {x: [x] if x in self.special or x.isspace() else [w.encode() for w in self.pre_token.findall(x.decode("utf-8", "replace"))] for x in missing}
         pieces = list({w for x in words.values() for w in x if w not in self.special})

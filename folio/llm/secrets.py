@@ -30,10 +30,10 @@ BANDS, FALSE_RATE, STEPS = (20, 28, 40, 64, 128), 0.01, 400
 
 #: (name, pattern, alphabet, sum of squared symbol shares in writing, share of class changes in writing, serial correlation in writing).
 ENCODINGS = [
-    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.125, 0.20, 0.30),
-    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.065, 0.10, 0.25),
-    ("base64", "^[A-Za-z0-9+/]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.050, 0.20, 0.35),
-    ("base64url", "^[A-Za-z0-9_-]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.050, 0.20, 0.35),
+    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.110, 0.22, 0.25),
+    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.055, 0.15, 0.20),
+    ("base64", "^[A-Za-z0-9+/]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.040, 0.33, 0.15),
+    ("base64url", "^[A-Za-z0-9_-]+={0,2}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.040, 0.33, 0.15),
 ]
 
 
@@ -160,9 +160,10 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = FALSE_RATE,
     Rows without secrets come back as they are.
     """
     scratch = Scratch(docs.sparkSession, "redacted")
-    keyed = keyed_rows(docs)
-    found = scratch.write(spans_of(keyed, rate).select("row_key", "spans"), "spans")
+    found = scratch.write(spans_of(keyed_rows(only(docs, "doc_id", "text")), rate).select("row_key", "spans"), "spans")
     size = found.agg(F.sum(F.size("spans") * 20 + 60)).first()[0] or 0
+    # Names of the helping columns that no document column has.
+    key, spans = (f"_folio_{name}" + "_" * max([0, *map(len, docs.columns)]) for name in ("key", "spans"))
     # An array of kept stretches and marks; `upto` is the end of what is done.
     start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("parts"))
     text = F.col("text")
@@ -172,10 +173,13 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = FALSE_RATE,
         parts = F.when(new, F.concat(done["parts"], F.array(F.substring(text, done["upto"].cast("int") + 1, (span["start"] - done["upto"]).cast("int")), F.lit(mark)))).otherwise(done["parts"])
         return F.struct(F.greatest(done["upto"], span["stop"].cast("long")).alias("upto"), parts.alias("parts"))
 
-    clean = F.aggregate("spans", start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["upto"].cast("int") + 1, F.length(text))))
-    joined = join_checked(keyed, found, "row_key", "left", size, **checked).withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(clean))
+    clean = F.aggregate(spans, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["upto"].cast("int") + 1, F.length(text))))
+    keyed = docs.withColumn(key, F.concat_ws(":", "doc_id", F.xxhash64("text")))
+    none = F.col(spans).isNull()
+    joined = join_checked(keyed, found.select(F.col("row_key").alias(key), F.col("spans").alias(spans)), key, "left", size, **checked)
+    joined = joined.withColumn("text", F.when(none, text).otherwise(clean))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        joined = joined.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -135,16 +135,51 @@ def _unsigned(batch: pa.RecordBatch, column: str = "fp") -> np.ndarray:
     return batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def part_keys(fps: DataFrame, parts: list[Part]) -> DataFrame:
-    """The probe keys: for threshold 0 the part's value, for 1 its value under each bit masked."""
+def key_masks(parts: list[Part]) -> list[tuple[int, int]]:
+    """(number, mask) of a fingerprint's probe keys: for threshold 0 the part's bits, for 1 the part's bits but one, for each."""
     masks = []
     for i, part in enumerate(parts):
         masks += [(i * 65, part.mask)] if part.threshold == 0 else [(i * 65 + 1 + b, part.mask ^ (1 << b)) for b in part.bits]
+    return masks
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def crowded_keys(sample: np.ndarray, n: int, parts: list[Part], pair_bucket: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By key number: the values that far more than pair_bucket of n fingerprints have, by the sample, and into how many they are dealt."""
+    out = {}
+    least = 8 if len(sample) < n else 1
+    for number, mask in key_masks(parts):
+        values, counts = np.unique(sample & np.uint64(mask), return_counts=True)
+        size = counts * (n / max(1, len(sample)))
+        crowded = (size > pair_bucket) & (counts >= least)
+        if crowded.any():
+            out[number] = (values[crowded], np.ceil(2 * size[crowded] / pair_bucket).astype(np.uint64))
+    return out
+
+
+def part_keys(fps: DataFrame, parts: list[Part], crowded: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+    """The probe keys (part, value, fp) of fingerprints. Values of `crowded` are dealt into several by a hash of fingerprint and key."""
+    masks = key_masks(parts)
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             fp = _unsigned(batch)
-            yield _rows([np.full(len(fp), i) for i, _ in masks], [(fp & np.uint64(mask)).view(np.int64) for _, mask in masks], [fp.view(np.int64)] * len(masks))
+            values = []
+            for number, mask in masks:
+                own = fp & np.uint64(mask)
+                if crowded and number in crowded:
+                    known, deals = crowded[number]
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    deal = _mixed(fp ^ _mixed(np.full(len(fp), number + 1, np.uint64))) % deals[at]
+                    own = np.where(known[at] == own, _mixed(own ^ _mixed(deal + np.uint64(1))), own)
+                values.append(own.view(np.int64))
+            yield _rows([np.full(len(fp), i) for i, _ in masks], values, [fp.view(np.int64)] * len(masks))
 
     return fps.select("fp").mapInArrow(keyed, KEY_SCHEMA)
 
@@ -168,20 +203,11 @@ def _star(fp: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(fp[linked].view(np.int64)), pa.array(fp[label[linked]].view(np.int64))], names=["a", "b"])
 
 
-def verified_links(buckets: DataFrame, most_bits: int, tasks: int) -> DataFrame:
-    """Links inside buckets of bounded size: compared pairwise, given as a star per component of a bucket."""
+def by_buckets(buckets: DataFrame, compare, tasks: int, block: int = 1 << 62) -> DataFrame:
+    """Links (a, b) that compare(group, fp) finds; group are ascending numbers of the rows' buckets, whole ones, some at a time.
 
-    def compare(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        """group: ascending numbers of the rows' buckets."""
-        n = len(fp)
-        end = np.searchsorted(group, group, side="right")
-        label, at, step = np.arange(n), np.arange(n), 1
-        while len(at := at[at + step < end[at]]):
-            near = np.bitwise_count(fp[at] ^ fp[at + step]) <= most_bits
-            if near.any():
-                label = fold(n, at[near], at[near] + step, label)
-            step += 1
-        return _star(fp, label)
+    A bucket of more than `block` rows is cut into blocks of as many neighbouring fingerprints.
+    """
 
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -193,6 +219,8 @@ def verified_links(buckets: DataFrame, most_bits: int, tasks: int) -> DataFrame:
                 return
             part, value, fp = (table.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "fp"))
             new = np.concatenate([[0], (part[1:] != part[:-1]) | (value[1:] != value[:-1])]).cumsum()
+            place = (np.arange(len(new)) - np.searchsorted(new, new)) // block
+            new = np.concatenate([[0], (new[1:] != new[:-1]) | (place[1:] != place[:-1])]).cumsum()
             whole = len(fp) if last else int(np.searchsorted(new, new[-1]))  # the last bucket may go on
             if whole < len(fp):
                 held.append(table.slice(whole))
@@ -208,6 +236,50 @@ def verified_links(buckets: DataFrame, most_bits: int, tasks: int) -> DataFrame:
     return buckets.repartition(tasks, "part", "value").sortWithinPartitions("part", "value", "fp").mapInArrow(links, "a long, b long")
 
 
+def verified_links(buckets: DataFrame, most_bits: int, tasks: int) -> DataFrame:
+    """Links inside buckets of bounded size: compared pairwise, given as a star per component of a bucket."""
+
+    def compare(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        n = len(fp)
+        end = np.searchsorted(group, group, side="right")
+        label, at, step = np.arange(n), np.arange(n), 1
+        while len(at := at[at + step < end[at]]):
+            near = np.bitwise_count(fp[at] ^ fp[at + step]) <= most_bits
+            if near.any():
+                label = fold(n, at[near], at[near] + step, label)
+            step += 1
+        return _star(fp, label)
+
+    return by_buckets(buckets, compare, tasks)
+
+
+def forest_links(buckets: DataFrame, most_bits: int, tasks: int, block: int) -> DataFrame:
+    """Links inside buckets, or blocks of large ones: a spanning forest of each, of least differing bits.
+
+    Whatever hangs together at any number of bits up to most_bits also does over links of the forest with no more bits.
+    """
+
+    def compare(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        n = len(fp)
+        begin, end = np.searchsorted(group, group), np.searchsorted(group, group, side="right")
+        label, a, b = np.arange(n), [], []
+        for bits in range(most_bits + 1):
+            at, step = np.arange(n), 1
+            while len(at := at[at + step < end[at]]):
+                hits = at[(np.bitwise_count(fp[at] ^ fp[at + step]) == bits) & (label[at] != label[at + step])]
+                for i in hits.tolist():
+                    low, high = sorted((label[i], label[i + step]))
+                    if low != high:
+                        a.append(i)
+                        b.append(i + step)
+                        own = label[begin[i] : end[i]]
+                        own[own == high] = low
+                step += 1
+        return pa.record_batch([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
+
+    return by_buckets(buckets, compare, tasks, block)
+
+
 def masked_links(crowded: DataFrame, parts: list[Part], most_bits: int, tasks: int) -> DataFrame:
     """Links inside buckets of any size: all fingerprints that agree outside of some `most_bits` free bits, as stars.
 
@@ -249,12 +321,22 @@ def masked_links(crowded: DataFrame, parts: list[Part], most_bits: int, tasks: i
     return crowded.mapInArrow(masked, KEY_SCHEMA).repartition(tasks, "part", "value").sortWithinPartitions("part", "value", "fp").mapInArrow(stars, "a long, b long")
 
 
-def links(fps: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS, pair_bucket: int = PAIR_BUCKET, sample: int = PLAN_SAMPLE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect exactly those within most_bits of each other, directly or over others."""
+def _planned(fps: DataFrame, most_bits: int, sample: int) -> tuple[int, np.ndarray, list[Part]]:
+    """The number of fingerprints, the bounded sample and the plan."""
     n = fps.count()
-    tasks = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    parts = plan(np.array([x["fp"] for x in rows], np.int64).view(np.uint64), n, most_bits)
+    found = np.array([x["fp"] for x in rows], np.int64).view(np.uint64)
+    return n, found, plan(found, n, most_bits)
+
+
+def _tasks(frame: DataFrame) -> int:
+    return max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def links(fps: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS, pair_bucket: int = PAIR_BUCKET, sample: int = PLAN_SAMPLE) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that connect exactly those within most_bits of each other, directly or over others."""
+    tasks = _tasks(fps)
+    _, _, parts = _planned(fps, most_bits, sample)
     keys = scratch.write(part_keys(fps, parts), "keys")
     sizes = scratch.write(keys.groupBy("part", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = keys.join(sizes, ["part", "value"])
@@ -264,6 +346,17 @@ def links(fps: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS, pair_buc
     return found
 
 
+def wide_links(fps: DataFrame, most_bits: int, pair_bucket: int = PAIR_BUCKET, sample: int = PLAN_SAMPLE) -> DataFrame:
+    """Links (a, b) within more bits than links() is meant for, as spanning forests, for a check of the texts.
+
+    Masking every pair of bits would not do for large buckets here. Those that the sample shows are dealt into smaller ones, by
+    another hash for each of the many keys of a fingerprint, others that turn out large are cut into blocks of neighbours:
+    members of a dense group meet often, and links() holds their closest ones. Keys move once and are never written.
+    """
+    n, found, parts = _planned(fps, most_bits, sample)
+    return forest_links(part_keys(fps, parts, crowded_keys(found, n, parts, pair_bucket)), most_bits, _tasks(fps), pair_bucket)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the smallest node of each component, for all nodes that have a link.
 
@@ -310,6 +403,47 @@ def near_groups(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_BITS,
     return marked.join(labelled.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingles: the distinct hashes of the text's shingles."""
+    bounded_batches(docs.sparkSession)
+
+    def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_batches(it):
+            sets = []
+            for text in texts:
+                own = text.lower().split()
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(own[i : i + words]), SEED) for i in range(max(1, len(own) - words + 1))], np.uint64)).view(np.int64))
+            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return only(docs, "doc_id", "text").mapInArrow(gathered, "doc_id long, shingles array<long>")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 8, **options: int) -> DataFrame:
+    """(node, label) of documents in groups of similar texts: label is the group's smallest doc_id.
+
+    Fingerprints (of WORDS-word shingles) within most_bits propose pairs, all those within MOST_BITS among them; a pair holds
+    if the texts' sets of `words`-word shingles have a Jaccard similarity of at least `similarity`. Groups are closed over
+    pairs that hold. Rows with a null doc_id are in no group.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    docs = only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
+    marked = scratch.write(fingerprints(docs), "fingerprints")
+    distinct = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    fps = distinct.select("fp")
+    near = links(fps, scratch, MOST_BITS, **options).unionByName(wide_links(fps, most_bits, **options)).distinct()
+    for end in ("a", "b"):
+        near = near.join(distinct.select(F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id")), end)
+    equal = marked.join(distinct, "fp").where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    pairs = scratch.write(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(equal).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = scratch.write(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "shingles")
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"{end}_set")), end)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    holds = both >= similarity * (F.size("a_set") + F.size("b_set") - both)
+    return components(pairs.where(holds).select("a", "b"), scratch)
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
