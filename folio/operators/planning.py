@@ -83,7 +83,8 @@ def resolved(items: DataFrame, existing: DataFrame, known: DataFrame) -> DataFra
     marked = items.join(there, "target", "left").join(own, "target", "left")
     blocked = F.col("generated").isNotNull() & ~F.col("generated") & F.col("is_known").isNull()
     marked = marked.withColumn("blocked", F.col("target").isNotNull() & blocked)
-    order = Window.partitionBy("target", "blocked").orderBy("rel")
+    # Items without a target claim nothing: each is a group of its own, not all of them one.
+    order = Window.partitionBy(F.coalesce("target", F.concat(F.lit("-"), "rel")), "blocked").orderBy("rel")
     lost = F.when(F.col("blocked"), "target_exists").when(F.col("target").isNotNull() & (F.row_number().over(order) > 1), "target_collision")
     marked = marked.withColumn("lost", lost)
     return (
