@@ -185,3 +185,34 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = FALSE_RATE,
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_pick(position: int) -> str:
+    return "CASE encoding " + " ".join(f"WHEN '{x[0]}' THEN {repr(x[position]) if position == 2 else x[position]}" for x in ENCODINGS) + " END"
+
+
+#: The same scan in SQL: positions from running sums, the battery over lists, the histogram rule by windows.
+OP5_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS row_key, doc_id, coalesce(text, '') AS t FROM documents),
+listed AS ({" UNION ALL ".join(f"SELECT row_key, {i} AS kind, unnest(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}')) AS hit, unnest(regexp_split_to_array(t, '{p.replace(chr(39), chr(39) * 2)}')) AS gap, generate_subscripts(regexp_split_to_array(t, '{p.replace(chr(39), chr(39) * 2)}'), 1) AS place FROM texts" for i, p in enumerate(PATTERNS))}),
+placed AS (SELECT row_key, kind, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY row_key, kind ORDER BY place)::BIGINT AS stop FROM listed WHERE hit IS NOT NULL),
+matched AS (SELECT row_key, kind, hit, stop - length(hit) AS start, stop FROM placed WHERE kind <> 0 OR length(regexp_extract(hit, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= {LEAST_VALUE}),
+encoded AS (SELECT *, CASE WHEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') THEN CASE {" ".join(f"WHEN regexp_matches(hit, '{x[1]}') THEN '{x[0]}'" for x in ENCODINGS)} END END AS encoding FROM matched WHERE kind = 3),
+cored AS (SELECT *, CASE WHEN encoding = 'hex' THEN lower(hit) ELSE regexp_replace(hit, '=+$', '') END AS core, {_sql_pick(2)} AS alphabet, {_sql_pick(3)} AS squares, {_sql_pick(4)} AS switch, {_sql_pick(5)} AS relation FROM encoded),
+sized AS (SELECT *, length(core)::DOUBLE AS n, length(alphabet)::DOUBLE AS k, list_transform(string_split(core, ''), lambda c: instr(alphabet, c)::DOUBLE) AS places FROM cored),
+means AS (SELECT *, list_transform(places, lambda x: x - list_sum(places) / n) AS off, list_sum(list_transform(string_split(alphabet, ''), lambda c: power(n - length(replace(core, c, '')), 2))) * k / n - n AS chi,
+  length(regexp_replace(regexp_replace(regexp_replace(core, '[0-9]+', '0', 'g'), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'))::DOUBLE - 1 AS changes FROM sized WHERE encoding IS NOT NULL),
+tested AS (SELECT *, list_sum(list_transform(off, lambda x: x * x)) AS spread, list_sum(list_transform(generate_series(1, n::BIGINT - 1), lambda i: off[i] * off[i + 1])) AS both_ FROM means),
+scored AS (SELECT *, ((k - 1 + (n - 1) * (k * squares - 1) - chi) / sqrt(2 * (k - 1) + 4 * n * (k * squares - 1)) + (changes - (n - 1) * switch) / sqrt((n - 1) * switch * (1 - switch)) + (relation - CASE WHEN spread > 0 THEN both_ / spread ELSE 1 END) * sqrt(n)) / sqrt(3) AS z FROM tested),
+stepped AS (SELECT row_key, start, stop, {"CASE " + " ".join(f"WHEN n >= {x} THEN {x}" for x in reversed(BANDS)) + f" ELSE {BANDS[0]} END"} AS band, least(floor(-10 * log10(greatest(1 / (1 + exp(least(1.5976 * z + 0.07056 * z * z * z, 700))), 1e-300))), {STEPS})::INT AS step FROM scored),
+-- Candidates without an encoding count among those tested.
+histogram AS (SELECT band, step, count(*) AS held FROM (SELECT band, step FROM stepped UNION ALL SELECT {"CASE " + " ".join(f"WHEN n >= {x} THEN {x}" for x in reversed(BANDS)) + f" ELSE {BANDS[0]} END"}, NULL FROM sized WHERE encoding IS NULL) GROUP BY ALL),
+cuts AS (SELECT band, min(step) AS cut FROM (SELECT band, step, sum(held) OVER (PARTITION BY band) * power(10.0, -step / 10.0) <= {FALSE_RATE} * sum(held) OVER (PARTITION BY band ORDER BY step DESC NULLS LAST ROWS UNBOUNDED PRECEDING) AS allowed FROM histogram) WHERE allowed AND step IS NOT NULL GROUP BY band),
+spans AS (SELECT row_key, kind, start, stop FROM matched WHERE kind < 3 UNION ALL SELECT row_key, 3, start, stop FROM stepped JOIN cuts USING (band) WHERE step >= cut),
+near AS (SELECT *, max(stop) FILTER (kind < 3) OVER (PARTITION BY row_key ORDER BY start, kind, stop ROWS UNBOUNDED PRECEDING) AS closed, min(start) FILTER (kind < 3) OVER (PARTITION BY row_key ORDER BY start, kind, stop ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_ FROM spans),
+kept AS (SELECT row_key, kind, start, list_extract(['assign', 'access', 'hex', 'random'], kind + 1) || ':' || start || ':' || stop AS shown FROM near WHERE kind < 3 OR (coalesce(closed <= start, true) AND coalesce(next_ >= stop, true))),
+per_doc AS (SELECT row_key, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_random,
+  string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(shown, ',' ORDER BY start, kind) AS spans FROM kept GROUP BY row_key)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM texts LEFT JOIN per_doc USING (row_key)
+"""

@@ -66,3 +66,22 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert set(rows.columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and rows.count() > 100
+
+
+def test_secrets_sql_on_odd_rows(spark, odd):
+    """Rows that the tables lack: random strings beside and inside of base spans."""
+    import pyarrow as pa
+
+    from folio.llm import secrets
+
+    from .conftest import odd_rows
+
+    rng_rows = [(100 + i, f"x {t} y") for i, t in enumerate(["Zk9vQ2hXw7LrT4pB8sNd1", "key=Zk9vQ2hXw7LrT4pB8sNd1fG6jM3cY5eA0uI", "secret: Zk9vQ2hXw7LrT4pB8sNd1fG6jM3cY5eA0uI", "RandomButStillReadableIdentifier9", "QWERTYUIOP234567ASDFGHJKLZXCVBNM2"])]
+    rows = [(i, t) for i, t, *_ in odd_rows()] + rng_rows
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}))
+    found = con.execute(ORACLE_SQL["op5_secret_scan"])
+    want = canonical([d[0] for d in found.description], found.fetchall())
+    frame = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert canonical(frame.columns, [tuple(r) for r in frame.collect()]) == want
+    assert frame.where("n_random > 0").count() >= 2
