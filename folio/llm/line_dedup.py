@@ -80,9 +80,10 @@ class LineRuns:
         self.scratch.drop(name)
 
     def close(self) -> None:
-        """Forgets the tables' names; their files stay for frames that still read them."""
+        """Deletes the runs."""
         for name in (x for level in self.levels for x in level):
-            self.spark.sql(f"DROP TABLE {name}")
+            self._drop(name)
+        self.levels = []
 
     def _merged(self, names: list[str]) -> DataFrame:
         """Runs merged into one: a full outer merge join keeps their bucketing, so no row moves."""
@@ -156,6 +157,7 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int =
     dropped = found.join(common.hint("merge"), "hash").where("NOT doc_id <=> last_doc").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     dropped = scratch.write(dropped, "dropped")
     runs.close()
+    scratch.drop("lines")
     size = dropped.agg(F.sum(F.size("dropped") * 4 + 40)).first()[0] or 0
     return dropped, size
 

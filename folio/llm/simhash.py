@@ -27,8 +27,10 @@ BITS, SEED = 64, 42
 WORDS, MOST_BITS = 3, 2
 #: Distinct fingerprints from which the plan is estimated; fingerprints of a bucket that are compared pairwise.
 PLAN_SAMPLE, PAIR_BUCKET = 20_000, 2048
-#: Costs of a key row and of a comparison, relative to each other.
-KEY_COST, PAIR_COST = 1.0, 0.01
+#: The same where more bits are allowed and texts are checked afterwards.
+WIDE_BUCKET = 16_384
+#: Costs of a key row (about 4.5 microseconds) and of a comparison (about 9 nanoseconds), relative to each other.
+KEY_COST, PAIR_COST = 1.0, 0.002
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> bytes:
@@ -253,28 +255,63 @@ def verified_links(buckets: DataFrame, most_bits: int, tasks: int) -> DataFrame:
     return by_buckets(buckets, compare, tasks)
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make a spanning forest of least bits over n positions."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    chosen: list[int] = []
+    left, size = np.argsort(bits, kind="stable"), 256
+    while len(left):
+        for k in left[:size].tolist():
+            x, y = root(int(a[k])), root(int(b[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                chosen.append(k)
+        # Most of the rest lies inside of components by now.
+        label = np.array(parent)
+        while not np.array_equal(label, label := label[label]):
+            pass
+        left, size = left[size:], 2 * size
+        left = left[label[a[left]] != label[b[left]]]
+    return np.array(chosen, np.int64)
+
+
 def forest_links(buckets: DataFrame, most_bits: int, tasks: int, block: int) -> DataFrame:
     """Links inside buckets, or blocks of large ones: a spanning forest of each, of least differing bits.
 
-    Whatever hangs together at any number of bits up to most_bits also does over links of the forest with no more bits.
+    Whatever hangs together at any number of bits up to most_bits also does over links of the forest with no more bits. Near
+    pairs are held a million at a time: with the forest so far, they give the next.
     """
 
     def compare(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         n = len(fp)
-        begin, end = np.searchsorted(group, group), np.searchsorted(group, group, side="right")
-        label, a, b = np.arange(n), [], []
-        for bits in range(most_bits + 1):
-            at, step = np.arange(n), 1
-            while len(at := at[at + step < end[at]]):
-                hits = at[(np.bitwise_count(fp[at] ^ fp[at + step]) == bits) & (label[at] != label[at + step])]
-                for i in hits.tolist():
-                    low, high = sorted((label[i], label[i + step]))
-                    if low != high:
-                        a.append(i)
-                        b.append(i + step)
-                        own = label[begin[i] : end[i]]
-                        own[own == high] = low
-                step += 1
+        end = np.searchsorted(group, group, side="right")
+        links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def thin() -> None:
+            a, b, bits = (np.concatenate(x) for x in zip(*links, strict=True))
+            kept = forest(n, a, b, bits)
+            links[:] = [(a[kept], b[kept], bits[kept])]
+
+        held, at, step = 0, np.arange(n), 1
+        while len(at := at[at + step < end[at]]):
+            bits = np.bitwise_count(fp[at] ^ fp[at + step])
+            near = bits <= most_bits
+            if near.any():
+                links.append((at[near], at[near] + step, bits[near]))
+                held += len(links[-1][0])
+                if held > 1_000_000:
+                    thin()
+                    held = len(links[0][0])
+            step += 1
+        if links:
+            thin()
+        a, b = links[0][:2] if links else (np.empty(0, np.int64),) * 2
         return pa.record_batch([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
 
     return by_buckets(buckets, compare, tasks, block)
@@ -346,15 +383,15 @@ def links(fps: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS, pair_buc
     return found
 
 
-def wide_links(fps: DataFrame, most_bits: int, pair_bucket: int = PAIR_BUCKET, sample: int = PLAN_SAMPLE) -> DataFrame:
+def wide_links(fps: DataFrame, most_bits: int, wide_bucket: int = WIDE_BUCKET, sample: int = PLAN_SAMPLE) -> DataFrame:
     """Links (a, b) within more bits than links() is meant for, as spanning forests, for a check of the texts.
 
     Masking every pair of bits would not do for large buckets here. Those that the sample shows are dealt into smaller ones, by
-    another hash for each of the many keys of a fingerprint, others that turn out large are cut into blocks of neighbours:
+    another hash for each of a fingerprint's keys, others that turn out large are cut into blocks of neighbours:
     members of a dense group meet often, and links() holds their closest ones. Keys move once and are never written.
     """
     n, found, parts = _planned(fps, most_bits, sample)
-    return forest_links(part_keys(fps, parts, crowded_keys(found, n, parts, pair_bucket)), most_bits, _tasks(fps), pair_bucket)
+    return forest_links(part_keys(fps, parts, crowded_keys(found, n, parts, wide_bucket)), most_bits, _tasks(fps), wide_bucket)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -418,7 +455,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(gathered, "doc_id long, shingles array<long>")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 8, **options: int) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 8, pair_bucket: int = PAIR_BUCKET, wide_bucket: int = WIDE_BUCKET) -> DataFrame:
     """(node, label) of documents in groups of similar texts: label is the group's smallest doc_id.
 
     Fingerprints (of WORDS-word shingles) within most_bits propose pairs, all those within MOST_BITS among them; a pair holds
@@ -430,7 +467,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mos
     marked = scratch.write(fingerprints(docs), "fingerprints")
     distinct = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     fps = distinct.select("fp")
-    near = links(fps, scratch, MOST_BITS, **options).unionByName(wide_links(fps, most_bits, **options)).distinct()
+    near = links(fps, scratch, MOST_BITS, pair_bucket).unionByName(wide_links(fps, most_bits, wide_bucket)).distinct()
     for end in ("a", "b"):
         near = near.join(distinct.select(F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id")), end)
     equal = marked.join(distinct, "fp").where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))

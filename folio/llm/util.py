@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,29 @@ def scratch_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 class Scratch:
-    """Written tables of one operator call, below the shared checkpoint folder."""
+    """Written tables of one operator call, below the shared checkpoint folder.
+
+    Returned frames read them, so they stay until clean() deletes them.
+    """
+
+    made: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/folio-{operator}-{uuid.uuid4().hex}"
+        Scratch.made.append(self.path)
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        """Deletes all tables that this process wrote, once no frame of the operators is needed any more."""
+        while cls.made:
+            delete(spark, cls.made.pop())
 
     def write(self, frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
         """Writes the frame and reads it back, which cuts its lineage: a lost executor costs only a re-read."""
@@ -54,8 +72,7 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(self.spark, f"{self.path}/{name}")
 
 
 def bounded_batches(spark: SparkSession) -> None:

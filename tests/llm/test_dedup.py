@@ -200,6 +200,26 @@ def test_dense_buckets_stay_linked(spark):
         own[rng.randrange(400)] = f"x{i}"
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = simhash.similar_groups(docs, pair_bucket=16).collect()
+    got = simhash.similar_groups(docs, pair_bucket=16, wide_bucket=24).collect()
     assert len(got) >= 118 and {r["label"] for r in got} == {0}
     assert docs.agg(F.count("doc_id")).first()[0] == 120
+
+
+def test_scratch_tables_can_be_deleted(spark):
+    scratch = Scratch(spark, "test")
+    assert scratch.write(spark.range(3), "t").count() == 3
+    Scratch.clean(spark)
+    assert not Scratch.made
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{scratch.path}/t")
+
+
+def test_forest_keeps_what_hangs_together():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (30, 40), (200, 3000)):
+        a, b, bits = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        kept = simhash.forest(n, a, b, bits)
+        for most in range(9):
+            every, some = bits <= most, kept[bits[kept] <= most] if m else []
+            assert np.array_equal(simhash.fold(n, a[every], b[every]), simhash.fold(n, a[some], b[some]) if m else np.arange(n))
+        assert len(kept) == n - len(set(simhash.fold(n, a, b).tolist()))
