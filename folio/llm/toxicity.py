@@ -3,8 +3,8 @@
 A word is the mean of the embeddings of its character n-grams and of itself, so a misspelling that was never seen shares
 most of its parts with words that were. A window of words is the mean of its words, classified by a linear softmax; a
 document is as toxic as its most toxic window, which a few words in a long text would not be on the average of all. Training
-starts on whole documents and then goes on with each document's most toxic window (the label is the document's, the window
-is not marked), with adaptive gradient steps for embeddings and softmax together.
+starts on whole documents and then goes on with each document's most toxic windows (the label is the document's, windows
+are not marked), with adaptive gradient steps for embeddings and softmax together.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from folio.llm.util import Generations, bounded_batches, only, text_batches
 BUCKETS, WIDTH, NGRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 3
 #: Labelled documents of each class that training reads at most, in the order of a hash, and the longest of them in characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_LENGTH = 800, 1600, 20_000
-#: Passes over whole documents and over worst windows, such windows of a document, step, weight decay.
-WARM, PASSES, WORST, STEP, DECAY = 25, 60, 2, 0.05, 1e-4
+#: Passes over whole documents and over worst windows, such windows of a document (that don't overlap), step, weight decay.
+WARM, PASSES, WORST, STEP, DECAY = 25, 60, 3, 0.05, 1e-4
 #: Training documents of at least so many that must hold an n-gram for it to be trained.
 LEAST_DOCS = 3
 #: Documents whose words are in memory as vectors at a time in training.
@@ -112,7 +112,11 @@ def train(texts: list[str], toxic: list[int]) -> Model:
             own = np.unique(d)
             return own, np.full(len(own), 1 / len(own))
         means, n = windowed(per_word[d]), min(WINDOW, len(d))
-        worst = np.argpartition(-means, min(WORST, len(means)) - 1)[:WORST]
+        worst: list[int] = []
+        for at in np.argsort(-means, kind="stable")[: WORST * (2 * n - 1)].tolist():
+            if len(worst) < WORST and all(abs(at - w) >= n for w in worst):
+                worst.append(at)
+        worst = np.array(worst)
         return d[(worst[:, None] + np.arange(n)).ravel()], np.full(n * len(worst), 1 / (n * len(worst)))
 
     for turn in range(1, WARM + PASSES + 1):
