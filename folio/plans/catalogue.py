@@ -714,6 +714,69 @@ def progress_ordinal(spark, sf_dir):
     return reports.progress(_records(spark, sf_dir))
 
 
+# Containers
+
+
+def _through_files(docs: DataFrame, made: Callable[[int, str], bytes], read: Callable[[str], str]) -> DataFrame:
+    """(doc_id, found): every document written to a file of its own and read back where it is, the file then deleted."""
+    import os
+    import tempfile
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                with tempfile.NamedTemporaryFile(delete=False) as file:
+                    file.write(made(doc_id, text or ""))
+                try:
+                    found.append(read(file.name))
+                finally:
+                    os.unlink(file.name)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "found"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found string")
+
+
+def _lines_of(document: dict) -> str:
+    return "\n".join(line["text"] for page in document["pages"] for line in page["lines"])
+
+
+KEPT_LINES_SQL = f"SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM (SELECT doc_id, line_no, {_squeezed('line')} AS line FROM ({LINES_SQL})) WHERE line <> ''"
+
+
+@query(f"""
+WITH l AS ({KEPT_LINES_SQL}), t AS (SELECT doc_id, string_agg('<!-- para:' || n || ' -->' || chr(10) || line || chr(10), chr(10) ORDER BY n) AS text FROM l GROUP BY doc_id)
+SELECT d.doc_id, md5(coalesce(t.text, '')) AS text_md5 FROM documents d LEFT JOIN t USING (doc_id)
+""")
+def docx_extract(spark, sf_dir):
+    from folio.sources import extract, ooxml
+
+    found = _through_files(_docs(spark, sf_dir), lambda _, text: ooxml.docx_bytes(text.split("\n")), lambda path: _lines_of(extract.docx(path)))
+    return found.select("doc_id", F.md5("found").alias("text_md5"))
+
+
+@query(f"""
+WITH l AS ({KEPT_LINES_SQL}), t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM l GROUP BY doc_id)
+SELECT d.doc_id, md5('Document ' || d.doc_id || chr(10) || CASE WHEN t.text IS NULL THEN '' ELSE chr(10) || t.text || chr(10) END) AS text_md5 FROM documents d LEFT JOIN t USING (doc_id)
+""")
+def pptx_extract(spark, sf_dir):
+    from folio.sources import extract, ooxml
+
+    found = _through_files(_docs(spark, sf_dir), lambda i, text: ooxml.pptx_bytes(f"Document {i}", text.split("\n")), lambda path: _lines_of(extract.pptx(path)))
+    return found.select("doc_id", F.md5("found").alias("text_md5"))
+
+
+@query("SELECT list_extract(['docx', 'pptx', 'unsupported', 'unknown'], (doc_id % 4 + 1)::INT) AS kind, count(*) AS n FROM documents GROUP BY 1")
+def ooxml_kind(spark, sf_dir):
+    from folio.sources import files, ooxml
+
+    made = lambda i, text: (ooxml.docx_bytes([text[:20]]), ooxml.pptx_bytes("t", []), ooxml.xlsx_bytes(), b"PK\x03\x04 no archive")[i % 4]
+    return _through_files(_docs(spark, sf_dir), made, files.archive_kind).groupBy(F.col("found").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def fit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: documents are unwrapped and cleaned, graded, planned as files and listed with advice."""
     docs = _docs(spark, sf_dir)
