@@ -15,6 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ BATCH_TEXT_BYTES, CACHED_CHUNKS = 24 << 20, 400_000
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond the six ASCII characters; where a text has some, it is split as a whole.
 RARE_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
+#: Characters beyond ASCII and accented Latin letters; without any, the pattern has a plain form.
+NOT_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
+PLAIN_PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9À-ÖØ-öø-ÿ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: A word with the space before it, or a run of white space: no pre-token crosses these borders (see chunks()).
 CHUNK = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?= [^ \t-\r])|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+(?=[ \t-\r])|[ \t-\r]")
 
@@ -133,7 +137,7 @@ class Bpe:
             begin = end + 1
         return out
 
-    def chunks(self, text: bytes) -> list[bytes]:
+    def chunks(self, text: bytes) -> list:
         """Splits at borders that no pre-token crosses, cheaply if the only white space is ASCII.
 
         A pre-token has white space at its start (one space before a word) or is all white space, so a word with one space
@@ -143,14 +147,16 @@ class Bpe:
             return [x for i, part in enumerate(parts) if part for x in ([part] if i % 2 else self.chunks_of(part))]
         return self.chunks_of(text)
 
-    def chunks_of(self, text: bytes) -> list[bytes]:
-        if not text.isascii() or any(x in text for x in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")):
-            decoded = text.decode("utf-8", "replace")
-            if self.rare.search(decoded):
-                return [x.encode() for x in self.pre_token.findall(decoded)]
+    def chunks_of(self, text: bytes) -> list:
+        """Whole pre-tokens (str) of texts in ASCII and Latin letters; else chunks (bytes), or the pattern's pre-tokens of a text with rare white space."""
+        decoded = text.decode("utf-8", "replace")
+        if not NOT_PLAIN.search(decoded):
+            return PLAIN_PRE_TOKEN.findall(decoded)
+        if self.rare.search(decoded):
+            return [x.encode() for x in self.pre_token.findall(decoded)]
         return CHUNK.findall(text)
 
-    def learn(self, distinct: set[bytes]) -> None:
+    def learn(self, distinct: set) -> None:
         """Encodes the chunks that aren't known yet; the store stays bounded.
 
         Nothing here is part of a cycle, so the collector would only walk over the many new tuples in vain.
@@ -163,26 +169,26 @@ class Bpe:
             if collects:
                 gc.enable()
 
-    def _learn(self, distinct: set[bytes]) -> None:
+    def _learn(self, distinct: set) -> None:
         missing = self.known.missing(distinct)
-        words = {x: [x] if x in self.special or x.isspace() else [w.encode() for w in self.pre_token.findall(x.decode("utf-8", "replace"))] for x in missing}
+        whole = [x for x in missing if isinstance(x, str)]
+        words = {x: [x] if x in self.special or x.isspace() else [w.encode() for w in self.pre_token.findall(x.decode("utf-8", "replace"))] for x in missing if isinstance(x, bytes)}
         pieces = list({w for x in words.values() for w in x if w not in self.special})
-        ids = dict(zip(pieces, self.merge_all(pieces), strict=True)) | {w: (i,) for w, i in self.special.items()}
+        encoded = self.merge_all([x.encode() for x in whole] + pieces)
+        self.known.now.update(zip(whole, encoded, strict=False))
+        ids = dict(zip(pieces, encoded[len(whole) :], strict=True)) | {w: (i,) for w, i in self.special.items()}
         for x, parts in words.items():
             self.known.now[x] = ids[parts[0]] if len(parts) == 1 else tuple(i for w in parts for i in ids[w])
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[list[int]]:
         """The ids of each text. Texts are split twice, so that only distinct chunks are ever held."""
-        distinct: set[bytes] = set()
+        distinct: set = set()
         for text in texts:
             distinct.update(self.chunks(text))
         self.learn(distinct)
-        known = self.known.now
+        known = self.known.now.__getitem__
         for text in texts:
-            ids: list[int] = []
-            for x in self.chunks(text):
-                ids += known[x]
-            yield ids
+            yield list(chain.from_iterable(map(known, self.chunks(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text: the ids' bytes, with the replacement character for what isn't UTF-8."""
@@ -204,7 +210,7 @@ def round_trip(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
 
     def both_ways(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        decimal = {i: b"%d," % i for i in bpe.bytes_of}
+        decimal = [b"%d," % i for i in range(max(bpe.bytes_of) + 1)]
         for part, texts in gathered(text_batches(it), BATCH_TEXT_BYTES):
             found: tuple[list, ...] = ([], [], [], [], [])
             for ids in bpe.encode_batch(texts):
