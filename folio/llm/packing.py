@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.util import Generations, Scratch, bounded_batches, only, text_batches
+from folio.llm.util import Generations, Scratch, bounded_batches, gathered, only, text_batches
 
 SEQUENCE_TOKENS = 2048
 #: Unfilled tokens that a sequence may have to be emitted before the last round.
 SLACK = 8
 #: Items that one task packs in a round, and chunk encodings that a worker keeps.
-ROUND_ITEMS, CACHED_CHUNKS = 50_000, 400_000
+ROUND_ITEMS, CACHED_CHUNKS = 50_000, 700_000
+#: Bytes of text whose new words are encoded together.
+BATCH_TEXT_BYTES = 8 << 20
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ITEM_SCHEMA = "full boolean, tokens int, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
@@ -51,7 +53,7 @@ class ChunkEncoder:
 
     NOT_PLAIN = re.compile("[^\t-\r -&(-~À-ÖØ-öø-ÿ]|<\\|")
     PART = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ\t-\r ]+")
-    WORDS_A_CALL = 256
+    WORDS_A_CALL = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -153,7 +155,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, end_i
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = chunk_encoder(path), np.asarray([end_id], "<u4").tobytes()
-        for part, texts in text_batches(it):
+        for part, texts in gathered(text_batches(it), BATCH_TEXT_BYTES):
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode_batch(texts), strict=True):
                 ids += end
