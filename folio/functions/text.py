@@ -52,7 +52,8 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def math_hits(text: Column) -> Column:
-    return count_of(text, MATH)
+    """Mathematical symbols; plain ASCII, which has none, is skipped in runs first."""
+    return count_of(F.regexp_replace(text, r"[\x00-\x7F]+", ""), MATH)
 
 
 def has_math(text: Column) -> Column:
