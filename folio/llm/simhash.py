@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.util import Scratch, bounded_batches, only, text_batches
+from folio.llm import jaccard
+from folio.llm.util import Scratch, bounded_batches, join_checked, only, text_batches
 
 BITS, SEED = 64, 42
 WORDS, MOST_BITS = 3, 2
@@ -29,6 +30,8 @@ WORDS, MOST_BITS = 3, 2
 PLAN_SAMPLE, PAIR_BUCKET = 20_000, 2048
 #: The same where more bits are allowed and texts are checked afterwards.
 WIDE_BUCKET = 16_384
+#: Neighbours in a prefix filter's bucket that are looked at before all are.
+NEAREST = 4
 #: Costs of a key row (about 4.5 microseconds) and of a comparison (about 9 nanoseconds), relative to each other.
 KEY_COST, PAIR_COST = 1.0, 0.002
 
@@ -446,21 +449,32 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(it):
-            sets = []
-            for text in texts:
-                own = text.lower().split()
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(own[i : i + words]), SEED) for i in range(max(1, len(own) - words + 1))], np.uint64)).view(np.int64))
+            sets = [jaccard.shingles(text, words).view(np.int64) for text in texts]
             yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return only(docs, "doc_id", "text").mapInArrow(gathered, "doc_id long, shingles array<long>")
 
 
+def held_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar."""
+    pairs = scratch.write(pairs, f"{name}-pairs")
+    ends = scratch.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ends")
+    sets = scratch.write(shingle_sets(join_checked(docs, ends, "doc_id", "left_semi", 16 * ends.count()), words).dropDuplicates(["doc_id"]), f"{name}-shingles")
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"{end}_set")), end)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    held = scratch.write(pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"), f"{name}-held")
+    scratch.drop(f"{name}-shingles")
+    return held
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 8, pair_bucket: int = PAIR_BUCKET, wide_bucket: int = WIDE_BUCKET) -> DataFrame:
     """(node, label) of documents in groups of similar texts: label is the group's smallest doc_id.
 
-    Fingerprints (of WORDS-word shingles) within most_bits propose pairs, all those within MOST_BITS among them; a pair holds
-    if the texts' sets of `words`-word shingles have a Jaccard similarity of at least `similarity`. Groups are closed over
-    pairs that hold. Rows with a null doc_id are in no group.
+    A pair holds if the texts' sets of `words`-word shingles have a Jaccard similarity of at least `similarity`; groups are
+    closed over all pairs that hold. Fingerprints (of WORDS-word shingles) within most_bits, equal sets and neighbours in
+    the prefix filter's buckets only join most of each group at little cost; the prefix filter then finds every pair between
+    different groups (jaccard.py). Rows with a null doc_id are in no group.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     docs = only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -471,14 +485,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mos
     for end in ("a", "b"):
         near = near.join(distinct.select(F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id")), end)
     equal = marked.join(distinct, "fp").where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    pairs = scratch.write(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(equal).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.write(shingle_sets(docs.join(ends, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "shingles")
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"{end}_set")), end)
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    holds = both >= similarity * (F.size("a_set") + F.size("b_set") - both)
-    return components(pairs.where(holds).select("a", "b"), scratch)
+    listed = scratch.write(jaccard.prefixes(docs, words, similarity, jaccard.common(docs, words, marked.count())).dropDuplicates(["doc_id"]), "prefixes")
+    same = listed.join(listed.groupBy("whole").agg(F.min("doc_id").alias("b")), "whole").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    pairs = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(equal).unionByName(same).distinct()
+    held = held_pairs(docs, pairs, words, similarity, scratch, "first")
+    label = scratch.write(components(held, Scratch(docs.sparkSession, "similar")), "first-labels")
+    keys = jaccard.labelled(listed, label).select(F.explode("keys").alias("key"), "doc_id", "label")
+    crossing = scratch.write(jaccard.crossing(keys), "crossing")
+    for name, nearest in (("some", NEAREST), ("all", 0)):
+        found = held_pairs(docs, jaccard.candidates(crossing, listed, similarity, _tasks(docs), nearest), words, similarity, scratch, name)
+        held = held.unionByName(found)
+        label = scratch.write(components(held, Scratch(docs.sparkSession, "similar")), f"{name}-labels")
+        if nearest:
+            crossing = jaccard.crossing(jaccard.labelled(crossing.drop("label"), label))
+    return label
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
