@@ -42,7 +42,15 @@ def around(rng):
         yield from ((100 * g + i, " ".join(edited(rng, base, rng.randint(2, 9)))) for i in range(25))
 
 
-CASES = {"around": (around, {})}
+def far(rng):
+    """Pairs with text appended, a block replaced or words edited, whose fingerprints often differ in more than 8 bits."""
+    for g in range(60):
+        base = words(rng, 300)
+        other = [base + words(rng, 68), base[:130] + words(rng, 30) + base[160:], edited(rng, base, 5)][g % 3]
+        yield from ((2 * g, " ".join(base)), (2 * g + 1, " ".join(other)))
+
+
+CASES = {"around": (around, {}), "far": (far, {})}
 
 
 @pytest.mark.parametrize("name", list(CASES))
