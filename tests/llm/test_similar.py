@@ -50,7 +50,15 @@ def far(rng):
         yield from ((2 * g, " ".join(base)), (2 * g + 1, " ".join(other)))
 
 
-CASES = {"around": (around, {}), "far": (far, {})}
+def crowded(rng):
+    """A chain of groups far larger than a bucket may be."""
+    base = words(rng, 400)
+    for g in range(6):
+        base = edited(rng, base, 8)
+        yield from ((100 * g + i, " ".join(edited(rng, base, rng.randint(1, 4)))) for i in range(50))
+
+
+CASES = {"around": (around, {}), "far": (far, {}), "crowded": (crowded, {"pair_bucket": 8, "wide_bucket": 8})}
 
 
 @pytest.mark.parametrize("name", list(CASES))
