@@ -22,6 +22,8 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 #: A run of hex digits, or capitals and digits after AKIA, is taken whole by any match, so the least length can stand in the pattern.
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: What of a candidate that fits no encoding is tested: runs in each encoding's own alphabet, = only behind them.
+PIECES = ("[0-9a-f]{20,}", "[0-9A-F]{20,}", "[A-Z2-7]{20,}=*", "[A-Za-z0-9+/]{20,}={0,2}", "[A-Za-z0-9_-]{20,}={0,2}", "[A-Za-z0-9]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 PATTERNS = (ASSIGN, ACCESS, HEX, CANDIDATE)
 LEAST_VALUE = 6
@@ -93,7 +95,7 @@ def discovered(tested: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     return tested.join(F.broadcast(cuts), "band", "left").withColumn("chosen", F.coalesce(F.col("step") >= F.col("cut"), F.lit(False)))
 
 
-def matches(keyed: DataFrame) -> DataFrame:
+def matches(keyed: DataFrame, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
     """(row_key, kind, start, stop, hit) of all leftmost non-overlapping matches; positions count code points.
 
     The text before each match and the match itself, in turn, make up the text, so running sums of their lengths give the
@@ -105,13 +107,23 @@ def matches(keyed: DataFrame) -> DataFrame:
         both = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda h, g: F.struct(F.lit(kind).alias("kind"), h.alias("hit"), F.length(g).alias("gap")))
         return F.filter(both, lambda x: x["hit"].isNotNull())  # the text after the last match has no match beside it
 
-    found = [of_kind(i, p) for i, p in enumerate(PATTERNS)]
+    found = [of_kind(i, p) for i, p in enumerate(patterns)]
     rows = keyed.select("row_key", F.posexplode(F.concat(*found)).alias("place", "m")).select("row_key", "place", "m.*")
     upto = Window.partitionBy("row_key", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.length("hit")).over(upto)
     return rows.select("row_key", "kind", (stop - F.length("hit")).alias("start"), stop.alias("stop"), "hit")
 
 
+def pieces_of(candidates: DataFrame) -> DataFrame:
+    """Candidates (row_key, start, stop, hit): those that fit no encoding also by their PIECES, each stretch once."""
+    fits = reduce(or_, [F.col("hit").rlike(x[1]) for x in ENCODINGS])
+    keyed = candidates.where(~fits).select(F.concat_ws("@", "row_key", "start").alias("row_key"), F.col("hit").alias("text"))
+    found = matches(keyed, PIECES)
+    base = F.substring_index("row_key", "@", -1).cast("long")
+    found = found.select(F.regexp_replace("row_key", "@[0-9]+$", "").alias("row_key"), (base + F.col("start")).alias("start"), (base + F.col("stop")).alias("stop"), "hit")
+    return candidates.select("row_key", "start", "stop", "hit").unionByName(found.dropDuplicates(["row_key", "start", "stop"]))
+
+
 def _listed(base_only: bool) -> Column:
     spans = F.filter("spans", lambda s: s["kind"] < 3) if base_only else F.col("spans")
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -122,8 +134,11 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key", F.concat_ws(":", "doc_id", F.xxhash64("text")))
 
 
-def spans_of(keyed: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
-    """Per row_key with any span: n_assign, n_access, n_hex, n_random and spans, sorted structs (start, kind, stop)."""
+def spans_of(keyed: DataFrame, rate: float = FALSE_RATE, pieces: bool = False) -> DataFrame:
+    """Per row_key with any span: n_assign, n_access, n_hex, n_random and spans, sorted structs (start, kind, stop).
+
+    With `pieces`, candidates that fit no encoding (NAME=value, a value after a path) are also tested piece by piece.
+    """
     scratch = Scratch(keyed.sparkSession, "secrets")
     any_hit = reduce(or_, [F.col("text").rlike(p) for p in PATTERNS])
     # Rows that are equal in doc_id and text have equal spans: one of them is looked at.
@@ -131,7 +146,10 @@ def spans_of(keyed: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     valid = (F.col("kind") != 0) | (F.length(F.regexp_extract("hit", ASSIGN, 2)) >= LEAST_VALUE)
     found = scratch.write(matches(hits).where(valid), "matches")
     base = found.where("kind < 3").select("row_key", "kind", "start", "stop")
-    chosen = discovered(battery(found.where("kind = 3")), rate).where("chosen").select("row_key", "kind", "start", "stop")
+    tested = found.where("kind = 3").select("row_key", "start", "stop", "hit")
+    if pieces:
+        tested = scratch.write(pieces_of(tested), "pieces")
+    chosen = discovered(battery(tested), rate).where("chosen").select("row_key", F.lit(3).alias("kind"), "start", "stop")
     by_place = Window.partitionBy("row_key").orderBy("start", "kind", "stop")
     of_base = lambda c: F.when(F.col("kind") < 3, F.col(c))
     spans = base.unionByName(chosen).select("*", F.max(of_base("stop")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)).alias("closed"), F.min(of_base("start")).over(by_place.rowsBetween(0, Window.unboundedFollowing)).alias("next"))
@@ -157,10 +175,11 @@ def secrets(docs: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", rate: float = FALSE_RATE, **checked: int) -> DataFrame:
     """The documents, all columns, with every stretch of overlapping secrets in text replaced by the mark; n_chars follows, if there.
 
-    Rows without secrets come back as they are.
+    Rows without secrets come back as they are. Unlike in secrets(), a random value inside a longer run that fits no
+    encoding is found too (PIECES).
     """
     scratch = Scratch(docs.sparkSession, "redacted")
-    found = scratch.write(spans_of(keyed_rows(only(docs, "doc_id", "text")), rate).select("row_key", "spans"), "spans")
+    found = scratch.write(spans_of(keyed_rows(only(docs, "doc_id", "text")), rate, pieces=True).select("row_key", "spans"), "spans")
     size = found.agg(F.sum(F.size("spans") * 20 + 60)).first()[0] or 0
     # Names of the helping columns that no document column has.
     key, spans = (f"_folio_{name}" + "_" * max([0, *map(len, docs.columns)]) for name in ("key", "spans"))
