@@ -58,7 +58,16 @@ def crowded(rng):
         yield from ((100 * g + i, " ".join(edited(rng, base, rng.randint(1, 4)))) for i in range(50))
 
 
-CASES = {"around": (around, {}), "far": (far, {}), "crowded": (crowded, {"pair_bucket": 8, "wide_bucket": 8})}
+def repeated(rng):
+    """A repeated line decides the fingerprint of texts with different remainders, some of them near copies of each other."""
+    line = words(rng, 11) * 200
+    yield 0, " ".join(line + words(rng, 60))
+    for g in range(1, 20):
+        rest = words(rng, 60)
+        yield from ((2 * g, " ".join(line + rest)), (2 * g + 1, " ".join(line + rest + words(rng, 4))))
+
+
+CASES = {"around": (around, {}), "far": (far, {}), "crowded": (crowded, {"pair_bucket": 8, "wide_bucket": 8}), "repeated": (repeated, {})}
 
 
 @pytest.mark.parametrize("name", list(CASES))
