@@ -14,14 +14,16 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.util import bounded_batches, join_checked, only, text_batches
+from folio.llm.util import bounded_batches, join_checked, lean, only, text_batches
 
 SEED, SKETCH_BITS = 42, 512
 #: Documents from which common shingles are told, and how many of those are ordered last at most.
 SAMPLE, MOST_COMMON = 10_000, 200_000
+#: Rows of a bucket's block: every two blocks of a bucket are compared in a unit of their own.
+BLOCK = 1024
 #: Pairs that a bucket task holds before it hands them on.
 HELD_PAIRS = 1_000_000
 
@@ -50,7 +52,7 @@ def common(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.ndarray]
             yield pa.record_batch([pa.array(np.concatenate([shingles(x, words) for x in texts]).view(np.int64))], names=["shingle"])
 
     some = only(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
-    counts = some.mapInArrow(listed, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 2")
+    counts = some.mapInArrow(lean(listed), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 2")
     rows = counts.orderBy(F.desc("held"), "shingle").limit(MOST_COMMON).toArrow()
     hashes = rows["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -79,7 +81,7 @@ def prefixes(docs: DataFrame, words: int, similarity: float, often: tuple[np.nda
             whole = pa.array(np.array(wholes, np.uint64).view(np.int64))
             yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), whole, pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "size", "whole", "sketch", "keys"])
 
-    return only(docs, "doc_id", "text").mapInArrow(listed, "doc_id long, size long, whole long, sketch binary, keys array<long>")
+    return only(docs, "doc_id", "text").mapInArrow(lean(listed), "doc_id long, size long, whole long, sketch binary, keys array<long>")
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -89,9 +91,12 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def crossing(rows: DataFrame) -> DataFrame:
-    """The rows (key, doc_id, label) of keys that documents of different groups share."""
-    bucket = Window.partitionBy("key")
-    return rows.select("key", "doc_id", "label", F.min("label").over(bucket).alias("least"), F.max("label").over(bucket).alias("most")).where("least <> most").select("key", "doc_id", "label")
+    """The rows (key, doc_id, label, held) of keys that documents of different groups share; held counts the key's rows.
+
+    Keys are counted on the map side, and the join's large side can be split, so that no key has a task to itself.
+    """
+    bounds = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("held")).where("least <> most")
+    return rows.join(bounds.select("key", "held"), "key").select("key", "doc_id", "label", "held")
 
 
 def compared(at_key: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np.ndarray, marks: np.ndarray, similarity: float, nearest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,8 +133,21 @@ def compared(at_key: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np.nd
         yield taken()
 
 
-def candidates(rows: DataFrame, listed: DataFrame, similarity: float, tasks: int, nearest: int = 0) -> DataFrame:
-    """Pairs (a, b) from crossing() rows: all that may hold, or those with some neighbours in each bucket if `nearest` is given."""
+def in_blocks(rows: DataFrame, block: int, pairwise: bool) -> DataFrame:
+    """Adds unit to rows (key, doc_id, held): the row's block of its bucket; pairwise, every pair of blocks that it is in."""
+    n = F.ceil(F.col("held") / block).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "key"), n).cast("long")
+    if not pairwise:
+        return rows.withColumn("unit", own)
+    pair = lambda i: F.least(own, i.cast("long")) * (1 << 31) + F.greatest(own, i.cast("long"))
+    return rows.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), n - 1), pair)))
+
+
+def candidates(rows: DataFrame, listed: DataFrame, similarity: float, tasks: int, nearest: int = 0, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) from crossing() rows: all that may hold, or those with some neighbours in each block if `nearest` is given.
+
+    No task holds a bucket: it is dealt into blocks by a hash, and to find all pairs every two blocks meet in a unit.
+    """
 
     def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -139,8 +157,8 @@ def candidates(rows: DataFrame, listed: DataFrame, similarity: float, tasks: int
             held.clear()
             if table is None:
                 return
-            key, doc, label, size = (table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "doc_id", "label", "size"))
-            at_key = np.concatenate([[0], key[1:] != key[:-1]]).cumsum()
+            key, unit, doc, label, size = (table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "unit", "doc_id", "label", "size"))
+            at_key = np.concatenate([[0], (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])]).cumsum()
             whole = len(key) if last else int(np.searchsorted(at_key, at_key[-1]))  # the last bucket may go on
             if whole < len(key):
                 held.append(table.slice(whole))
@@ -159,6 +177,6 @@ def candidates(rows: DataFrame, listed: DataFrame, similarity: float, tasks: int
                 least = max(20_000, 2 * size)
         yield from cut(True)
 
-    rows = rows.join(listed.select("doc_id", "size", "sketch"), "doc_id")
+    rows = in_blocks(rows.join(listed.select("doc_id", "size", "sketch"), "doc_id"), block, not nearest)
     order = F.xxhash64("key", "doc_id") if nearest else F.col("size")
-    return rows.repartition(tasks, "key").sortWithinPartitions("key", order, "doc_id").mapInArrow(pairs, "a long, b long").distinct()
+    return rows.repartition(tasks, "key", "unit").sortWithinPartitions("key", "unit", order, "doc_id").mapInArrow(lean(pairs), "a long, b long").distinct()

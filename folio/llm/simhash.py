@@ -4,8 +4,9 @@ Fingerprints that differ in at most T bits must, for parts of the bits with thre
 differ in at most t_i bits in some part. Correlated bits are put in one part, so that the other parts stay selective, and the
 thresholds (-1 skips a part) come from a dynamic program over candidate counts estimated from a bounded sample of
 fingerprints; the plan decides cost only, never results. Distinct fingerprints are probed by their parts' values (with one
-bit masked for t_i = 1) and verified. A bucket too large for that is split by masking every two of its free bits, which
-leaves at most four fingerprints together, all of them linked: no bucket ever emits or compares all its pairs.
+bit masked for t_i = 1) and verified. A bucket of some size is compared block by block, each two blocks apart from the others,
+in tasks of their own. A bucket too large for that is split by masking every two of its free bits, which
+leaves at most four fingerprints together, all of them linked: no bucket ever emits all its pairs.
 Links are closed to components by rounds of hooking and contraction over tables.
 """
 
@@ -22,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import jaccard
-from folio.llm.util import Scratch, bounded_batches, join_checked, only, text_batches
+from folio.llm.util import Scratch, bounded_batches, join_checked, lean, only, text_batches
 
 BITS, SEED = 64, 42
 WORDS, MOST_BITS = 3, 2
 #: Distinct fingerprints from which the plan is estimated; fingerprints of a bucket that are compared pairwise.
 PLAN_SAMPLE, PAIR_BUCKET = 20_000, 2048
-#: The same where more bits are allowed and texts are checked afterwards.
-WIDE_BUCKET = 16_384
+#: Rows of a bucket's block: larger buckets are compared block by block, each two blocks in a unit of their own.
+BLOCK = 128
+#: Fingerprints of a bucket that are compared where more bits are allowed and texts are checked afterwards.
+WIDE_BUCKET = 1024
 #: Neighbours in a prefix filter's bucket that are looked at before all are.
 NEAREST = 4
 #: Costs of a key row (about 4.5 microseconds) and of a comparison (about 9 nanoseconds), relative to each other.
@@ -62,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = np.frombuffer(b"".join([fingerprint(x, words) for x in texts]), ">i8").astype(np.int64)
             yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(found)], names=["doc_id", "fp"])
 
-    return only(docs, "doc_id", "text").mapInArrow(marked, "doc_id long, fp long")
+    return only(docs, "doc_id", "text").mapInArrow(lean(marked), "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -131,6 +134,18 @@ def plan(sample: np.ndarray, n: int, most_bits: int = MOST_BITS) -> list[Part]:
 KEY_SCHEMA = "part int, value long, fp long"
 
 
+def in_units(shared: DataFrame, rows: str, size: str = "size", block: int = BLOCK) -> DataFrame:
+    """Adds unit to rows of buckets whose size is known, so that no task needs to hold a bucket.
+
+    A bucket is dealt into blocks of about `block` rows by a hash of the column `rows`; a row goes to one unit for each block
+    of its bucket, so every two rows meet in at least one unit, and no unit has more than two blocks.
+    """
+    n = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64(rows), n).cast("long")
+    other = lambda i: F.least(own, i.cast("long")) * (1 << 31) + F.greatest(own, i.cast("long"))
+    return shared.withColumn("unit", F.explode(F.transform(F.sequence(F.lit(0), n - 1), other)))
+
+
 def _rows(part: list[np.ndarray], value: list[np.ndarray], fp: list[np.ndarray]) -> pa.RecordBatch:
     join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
     return pa.record_batch([pa.array(join(part, np.int32)), pa.array(join(value, np.int64)), pa.array(join(fp, np.int64))], names=["part", "value", "fp"])
@@ -209,9 +224,10 @@ def _star(fp: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
 
 
 def by_buckets(buckets: DataFrame, compare, tasks: int, block: int = 1 << 62) -> DataFrame:
-    """Links (a, b) that compare(group, fp) finds; group are ascending numbers of the rows' buckets, whole ones, some at a time.
+    """Links (a, b) that compare(group, fp) finds; group are ascending numbers of the rows' units (of part, value, unit, fp), whole
+    ones, some at a time.
 
-    A bucket of more than `block` rows is cut into blocks of as many neighbouring fingerprints.
+    A unit of more than `block` rows is cut into blocks of as many neighbouring fingerprints.
     """
 
     def links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +238,8 @@ def by_buckets(buckets: DataFrame, compare, tasks: int, block: int = 1 << 62) ->
             held.clear()
             if table is None:
                 return
-            part, value, fp = (table.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "fp"))
-            new = np.concatenate([[0], (part[1:] != part[:-1]) | (value[1:] != value[:-1])]).cumsum()
+            part, value, unit, fp = (table.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "unit", "fp"))
+            new = np.concatenate([[0], (part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (unit[1:] != unit[:-1])]).cumsum()
             place = (np.arange(len(new)) - np.searchsorted(new, new)) // block
             new = np.concatenate([[0], (new[1:] != new[:-1]) | (place[1:] != place[:-1])]).cumsum()
             whole = len(fp) if last else int(np.searchsorted(new, new[-1]))  # the last bucket may go on
@@ -238,11 +254,11 @@ def by_buckets(buckets: DataFrame, compare, tasks: int, block: int = 1 << 62) ->
                 yield from cut(False)
         yield from cut(True)
 
-    return buckets.repartition(tasks, "part", "value").sortWithinPartitions("part", "value", "fp").mapInArrow(links, "a long, b long")
+    return buckets.repartition(tasks, "part", "value", "unit").sortWithinPartitions("part", "value", "unit", "fp").mapInArrow(lean(links), "a long, b long")
 
 
 def verified_links(buckets: DataFrame, most_bits: int, tasks: int) -> DataFrame:
-    """Links inside buckets of bounded size: compared pairwise, given as a star per component of a bucket."""
+    """Links inside units of bounded size: compared pairwise, given as a star per component of a unit."""
 
     def compare(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         n = len(fp)
@@ -380,7 +396,7 @@ def links(fps: DataFrame, scratch: Scratch, most_bits: int = MOST_BITS, pair_buc
     keys = scratch.write(part_keys(fps, parts), "keys")
     sizes = scratch.write(keys.groupBy("part", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = keys.join(sizes, ["part", "value"])
-    found = verified_links(shared.where(F.col("size") <= pair_bucket).select("part", "value", "fp"), most_bits, tasks)
+    found = verified_links(in_units(shared.where(F.col("size") <= pair_bucket), "fp").select("part", "value", "unit", "fp"), most_bits, tasks)
     if sizes.where(F.col("size") > pair_bucket).limit(1).count():
         found = found.unionByName(masked_links(shared.where(F.col("size") > pair_bucket).select("part", "fp"), parts, most_bits, tasks))
     return found
@@ -394,7 +410,8 @@ def wide_links(fps: DataFrame, most_bits: int, wide_bucket: int = WIDE_BUCKET, s
     members of a dense group meet often, and links() holds their closest ones. Keys move once and are never written.
     """
     n, found, parts = _planned(fps, most_bits, sample)
-    return forest_links(part_keys(fps, parts, crowded_keys(found, n, parts, wide_bucket)), most_bits, _tasks(fps), wide_bucket)
+    keys = part_keys(fps, parts, crowded_keys(found, n, parts, wide_bucket)).withColumn("unit", F.lit(0).cast("long"))
+    return forest_links(keys, most_bits, _tasks(fps), wide_bucket)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -452,7 +469,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             sets = [jaccard.shingles(text, words).view(np.int64) for text in texts]
             yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return only(docs, "doc_id", "text").mapInArrow(gathered, "doc_id long, shingles array<long>")
+    return only(docs, "doc_id", "text").mapInArrow(lean(gathered), "doc_id long, shingles array<long>")
 
 
 def held_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
@@ -468,13 +485,18 @@ def held_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float,
     return held
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 8, pair_bucket: int = PAIR_BUCKET, wide_bucket: int = WIDE_BUCKET) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most_bits: int = 8, pair_bucket: int = PAIR_BUCKET, wide_bucket: int = WIDE_BUCKET, block: int = jaccard.BLOCK) -> DataFrame:
     """(node, label) of documents in groups of similar texts: label is the group's smallest doc_id.
 
     A pair holds if the texts' sets of `words`-word shingles have a Jaccard similarity of at least `similarity`; groups are
     closed over all pairs that hold. Fingerprints (of WORDS-word shingles) within most_bits, equal sets and neighbours in
     the prefix filter's buckets only join most of each group at little cost; the prefix filter then finds every pair between
-    different groups (jaccard.py). Rows with a null doc_id are in no group.
+    different groups (jaccard.py).
+
+    doc_id tells texts apart (numbered() makes it so): of rows that repeat one, any decides. Rows with a null doc_id are in no
+    group. Null, empty and blank texts have the one empty shingle, so they are similar to each other; fewer words than a
+    shingle make one. Very long texts count whole, one at a time. A tie at exactly `similarity` holds. An empty table gives no
+    rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     docs = only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -493,14 +515,60 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mos
     keys = jaccard.labelled(listed, label).select(F.explode("keys").alias("key"), "doc_id", "label")
     crossing = scratch.write(jaccard.crossing(keys), "crossing")
     for name, nearest in (("some", NEAREST), ("all", 0)):
-        found = held_pairs(docs, jaccard.candidates(crossing, listed, similarity, _tasks(docs), nearest), words, similarity, scratch, name)
+        found = held_pairs(docs, jaccard.candidates(crossing, listed, similarity, _tasks(docs), nearest, block), words, similarity, scratch, name)
         held = held.unionByName(found)
         label = scratch.write(components(held, Scratch(docs.sparkSession, "similar")), f"{name}-labels")
         if nearest:
-            crossing = jaccard.crossing(jaccard.labelled(crossing.drop("label"), label))
+            crossing = scratch.write(jaccard.crossing(jaccard.labelled(crossing.drop("label", "held"), label)), "crossing-left")
     return label
 
 
+def numbered(docs: DataFrame, scratch: Scratch, node: str, key: str) -> tuple[DataFrame, bool]:
+    """docs with `node`, a number that tells apart all rows that differ in doc_id or text, and whether it isn't just the doc_id.
+
+    Rows whose doc_id others share, or that have none, get numbers above all doc_ids, in a written table, the same for rows
+    equal in doc_id and text; `key` is then added too: doc_id and a digest of the text.
+    """
+    ids = docs.groupBy(F.col("doc_id").alias(node)).agg(F.count(F.lit(1)).alias("held")).where(F.col(node).isNull() | (F.col("held") > 1)).select(F.coalesce(node, F.lit(0)).alias(node), F.col(node).isNull().alias("none"))
+    ids = scratch.write(ids, "repeated")
+    n = ids.count()
+    if not n:
+        return docs.withColumn(node, F.col("doc_id")), False
+    # Texts are keyed only where their doc_id doesn't do.
+    known = scratch.write(ids.where("NOT none").select(node), "repeated-ids")
+    marked = join_checked(docs.withColumn(node, F.col("doc_id")), known.withColumn(key, F.lit("")), node, "left", 24 * n)
+    shared = F.col(node).isNull() | F.col(key).isNotNull()
+    marked = marked.withColumn(key, F.when(shared, F.concat_ws(":", F.coalesce(F.col(node).cast("string"), F.lit("none")), F.md5(F.coalesce("text", F.lit(""))))))
+    above = docs.agg(F.max("doc_id")).first()[0]
+    fresh = scratch.write(marked.where(F.col(key).isNotNull()).select(key).distinct().select(key, (F.monotonically_increasing_id() + F.lit((above or 0) + 1)).alias("number")), "numbers")
+    marked = join_checked(marked, fresh.withColumnRenamed("number", f"{key}_number"), key, "left", 80 * fresh.count())
+    return marked.withColumn(node, F.coalesce(f"{key}_number", node)).drop(f"{key}_number"), True
+
+
+def without_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """The documents, all columns, of which one of each group of similar texts stays: the smallest doc_id, nulls last.
+
+    See similar_groups() for what a group is. Rows that share a doc_id, or have none, are documents of their own if their texts
+    differ; rows equal in doc_id and text are one document, of which one row stays; of a group's rows with one doc_id the
+    smallest digest stays. Null, empty and blank texts make one group. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    node, key = (f"_folio_{name}" + "_" * max([0, *map(len, docs.columns)]) for name in ("node", "key"))  # no document column's name
+    marked, repeats = numbered(docs, scratch, node, key)
+    label = similar_groups(marked.select(F.col(node).alias("doc_id"), "text"), **options)
+    if repeats:
+        names = scratch.write(marked.where(F.col(key).isNotNull()).select(F.col(node).alias("node"), "doc_id", F.col(key).alias("key")).distinct(), "names")
+        label = label.join(names, "node", "left").withColumn("order", F.struct((F.col("key").isNotNull() & F.col("doc_id").isNull()).alias("none"), F.coalesce("doc_id", F.when(F.col("key").isNull(), F.col("node"))).alias("id"), F.col("key").alias("key")))
+        label = label.join(label.groupBy("label").agg(F.min("order").alias("first")), "label")
+        gone = label.where("order <> first")
+    else:
+        gone = label.where("node <> label")
+    gone = scratch.write(gone.select(F.col("node").alias(node)).distinct(), "gone")
+    if repeats:
+        marked = marked.where(F.col(key).isNull()).unionByName(marked.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    return join_checked(marked, gone, node, "left_anti", 16 * gone.count()).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import pyarrow as pa
@@ -57,9 +59,9 @@ class Scratch:
         Scratch.made.append(self.path)
 
     @classmethod
-    def clean(cls, spark: SparkSession) -> None:
-        """Deletes all tables that this process wrote, once no frame of the operators is needed any more."""
-        while cls.made:
+    def clean(cls, spark: SparkSession, mark: int = 0) -> None:
+        """Deletes all tables that this process wrote after the first `mark`, once no frame of theirs is needed any more."""
+        while len(cls.made) > mark:
             delete(spark, cls.made.pop())
 
     def write(self, frame: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -95,6 +97,20 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
             yield batch.slice(begin), texts[begin:]
 
 
+def lean(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The stage, after which its Python worker, which lives on, gives memory that it no longer uses back to the machine."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from stage(it)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def gathered(batches: Iterator[tuple[pa.RecordBatch, list[bytes]]], most: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Joins what text_batches() yields up to `most` text bytes."""
     parts: list[pa.RecordBatch] = []

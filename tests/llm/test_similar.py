@@ -58,6 +58,21 @@ def crowded(rng):
         yield from ((100 * g + i, " ".join(edited(rng, base, rng.randint(1, 4)))) for i in range(50))
 
 
+def dense(rng):
+    """400 texts with one to three changed words: tens of thousands of pairs hold, thousands don't."""
+    base = words(rng, 200)
+    yield from ((i, " ".join(edited(rng, base, rng.randint(1, 3)))) for i in range(400))
+
+
+def boilerplate(rng):
+    """Short texts that are mostly one passage: its shingles are in every prefix, and few pairs hold."""
+    line = words(rng, 12)
+    for g in range(150):
+        own = words(rng, 8)
+        yield 2 * g, " ".join(line + own)
+        yield 2 * g + 1, " ".join(line + own + (words(rng, 1) if g % 2 else words(rng, 9)))
+
+
 def repeated(rng):
     """A repeated line decides the fingerprint of texts with different remainders, some of them near copies of each other."""
     line = words(rng, 11) * 200
@@ -67,7 +82,7 @@ def repeated(rng):
         yield from ((2 * g, " ".join(line + rest)), (2 * g + 1, " ".join(line + rest + words(rng, 4))))
 
 
-CASES = {"around": (around, {}), "far": (far, {}), "crowded": (crowded, {"pair_bucket": 8, "wide_bucket": 8}), "repeated": (repeated, {})}
+CASES = {"around": (around, {}), "far": (far, {}), "crowded": (crowded, {"pair_bucket": 8, "wide_bucket": 8}), "repeated": (repeated, {}), "dense": (dense, {}), "blocks": (dense, {"pair_bucket": 64, "wide_bucket": 16, "block": 7}), "boilerplate": (boilerplate, {"block": 16})}
 
 
 @pytest.mark.parametrize("name", list(CASES))
@@ -77,3 +92,23 @@ def test_against_all_pairs(spark, name):
     want = brute(rows)
     got = {r["node"]: r["label"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
     assert want and got == want
+
+
+def test_repeated_ids(spark):
+    """Rows with one doc_id and different texts are documents of their own; equal rows are one."""
+    rng = random.Random(5)
+    a, b, c, d = (words(rng, 100) for _ in range(4))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(edited(rng, a, 1))), (None, " ".join(edited(rng, b, 1))), (None, " ".join(c)), (None, " ".join(edited(rng, c, 1))), (3, " ".join(d)), (3, " ".join(d)), (3, " ".join(edited(rng, d, 1)))]
+    frame = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, node int")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.without_near_copies(frame).collect()), key=repr)
+    assert [g for g in got if g[0] == 1] == sorted(rows[:2], key=repr)
+    assert not [g for g in got if g[0] == 2] and len([g for g in got if g[0] is None]) == 1 and len([g for g in got if g[0] == 3]) == 1
+
+
+def test_copies_with_repeated_ids(spark):
+    from folio.llm import exact_dedup
+
+    rows = [(1, "a b"), (1, "c"), (2, "a  b"), (3, "c"), (None, "d"), (None, "d "), (4, "e"), (4, "e"), (5, None), (6, " "), (7, "f")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
+    got = sorted((tuple(r)[:2] for r in exact_dedup.without_copies(frame).collect()), key=repr)
+    assert got == sorted([(2, "a  b"), (1, "c"), (None, "d "), (4, "e"), (6, " "), (7, "f")], key=repr)
