@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.util import SPACE_CLASS, Scratch, only
+from folio.llm.util import SPACE_CLASS, Scratch, join_checked, only
 
 #: Digests in an index bucket, about; a bucket is built and searched in one task's memory (about 100 bytes a digest).
 BUCKET_DIGESTS = 40_000
@@ -176,6 +176,36 @@ def dedup_table(docs: DataFrame, bucket_digests: int = BUCKET_DIGESTS) -> DataFr
     return dedup(docs.where(first), docs.where(~first), bucket_digests)
 
 
+def without_copies(docs: DataFrame, **options: int) -> DataFrame:
+    """The documents, all columns, of which exactly one row of each group of equal texts stays.
+
+    That is the row with the most code points, then with the smallest doc_id (nulls last), then any of those equal in both.
+    Rows that share a doc_id but not the text are different documents. Null, empty and blank texts are equal; very long ones
+    are compared whole. An empty table gives no rows; column names may clash with the operator's own.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    found = scratch.write(dedup_table(docs, **options).where("group_size > 1").select("doc_id", "keep_id", "kept", "text_sha256"), "grouped")
+    # More than one row of a group may bear the winner's doc_id, and where none has a doc_id, none is the winner.
+    tied = scratch.write(found.where("kept OR keep_id IS NULL").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("text_sha256"), "tied")
+    gone = scratch.write(found.where("NOT kept").join(tied, "text_sha256", "left_anti").select("doc_id", "text_sha256").distinct(), "gone")
+    key, turn = (f"_folio_{name}" + "_" * max([0, *map(len, docs.columns)]) for name in ("key", "turn"))  # no document column's name
+    row_key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), digest)
+    marked = docs.withColumn(key, F.sha2(normalised(F.col("text")), 256))
+    n_tied = tied.count()
+    some = None
+    if n_tied:
+        groups_tied = tied.select(F.col("text_sha256").alias(key))
+        some = join_checked(marked, groups_tied, key, "left_semi", 80 * n_tied)
+        marked = join_checked(marked, groups_tied, key, "left_anti", 80 * n_tied)
+        order = F.struct(-F.coalesce(F.char_length("text"), F.lit(0)), F.col("doc_id").isNull(), F.col("doc_id"))
+        # The rank filter keeps a row per group and task before anything is shuffled.
+        some = some.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col(turn) == 1).drop(turn)
+    marked = marked.withColumn(key, row_key(F.col("doc_id"), F.col(key)))
+    left = join_checked(marked, gone.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(key)), key, "left_anti", 96 * gone.count())
+    out = left if some is None else left.unionByName(some)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_table(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("seen_before")
 
