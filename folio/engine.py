@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.config import Config
@@ -23,9 +26,26 @@ class OcrUnavailable(RuntimeError):
     """OCR is demanded but no backend is registered."""
 
 
+def held(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and written to the checkpoint folder: several steps read it, and a lost executor costs a re-read.
+
+    The folder is spark.checkpoint.dir; only where it is unset on a local master a temporary one is set.
+    """
+    context = frame.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        where = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="folio-"))
+    return frame.checkpoint()
+
+
 @dataclass
 class Plan:
-    """Lazy frames: items (rel, path, bytes, mtime_ns, kind, notes, action, reason, target, content_hash) and orphans (target)."""
+    """items (rel, path, bytes, mtime_ns, kind, notes, action, reason, target, content_hash) and orphans (target), computed once.
+
+    content_hash is there only where planning had to know it.
+    """
 
     config: Config
     items: DataFrame
@@ -38,9 +58,11 @@ class Plan:
 
 @dataclass
 class Report:
+    """What a run did: its records, the targets that are left over and those that were deleted (target), as tables."""
+
     records: DataFrame
-    orphans: list[str]
-    pruned: list[str] = field(default_factory=list)
+    left: DataFrame
+    gone: DataFrame
     written: int = 0
     stale: int = 0
 
@@ -48,14 +70,25 @@ class Report:
         found = {r["status"]: r["n"] for r in reports.status_counts(self.records).collect()}
         return {s: found[s] for s in STATUSES if s in found}
 
+    @property
+    def orphans(self) -> list[str]:
+        """For small folders and tests; `left` is the table."""
+        return [r["target"] for r in self.left.orderBy("target").collect()]
+
+    @property
+    def pruned(self) -> list[str]:
+        return [r["target"] for r in self.gone.orderBy("target").collect()]
+
     @property
     def failed(self) -> int:
         return self.counts().get("failed", 0)
 
 
 class Engine:
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    """normalise: what makes pages' texts of lines, L.unwrapped unless another set of rules is given."""
+
+    def __init__(self, spark: SparkSession, normalise: Callable[[DataFrame, list[str]], DataFrame] = L.unwrapped):
+        self.spark, self.normalise = spark, normalise
 
     # Planning
 
@@ -65,24 +98,26 @@ class Engine:
         return artifacts.join(files.there(artifacts), "target", "left_semi")
 
     def plan(self, config: Config) -> Plan:
+        """Walks once and reads the beginnings of files once; a file is hashed only if all but its time speaks for no change."""
         if config.ocr == "only" and ocr.get_backend() is None:
             raise OcrUnavailable("ocr=only needs a registered backend")
         records, own, _ = sinks.load_state(self.spark, config.meta_dir)
-        stale = self._stale(config)
-        known = own.union(stale).distinct()
-        scan = walk(self.spark, config.root, config.follow_symlinks, [config.meta_dir, config.other().meta_dir])
-        marked = files.with_heads(scan)
-        # Generated files aren't sources: those on record, and any that look it.
-        looks = files.there(scan.where(P.has_artifact_name(F.col("rel"))).select(F.col("path").alias("target"))).where("generated")
-        marked = marked.join(known.union(looks.select("target")).distinct().withColumnRenamed("target", "path"), "path", "left_anti")
-        items = planning.identified(marked).withColumn("pixels", planning.image_pixels(F.col("head")))
+        stale = held(self._stale(config))
+        known = held(own.union(stale).distinct())
+        marked = files.with_heads(walk(self.spark, config.root, config.follow_symlinks, [config.meta_dir, config.other().meta_dir]))
+        items = planning.identified(marked).withColumn("pixels", F.coalesce(planning.image_pixels(F.col("head")), "file_pixels"))
         items = planning.classified(items, config.include_images, config.max_bytes)
         target = F.when(F.col("action") != "skip", P.target_path(F.col("rel"), F.col("kind"), config.mode, config.text_root))
-        items = files.with_hashes(items.withColumn("target", target).select("rel", "path", "bytes", "mtime_ns", "kind", "notes", "action", "reason", "target"))
-        existing = files.there(items)
+        items = items.withColumn("target", target).select("rel", "path", "bytes", "mtime_ns", "kind", "notes", "action", "reason", "target", "generated")
+        items = held(planning.without_artifacts(items, known))
+        existing = held(files.there(items))
         items = planning.resolved(items, existing, known)
-        items = planning.fingerprinted(items, records, existing, config.digest, config.force, config.by_hash)
-        lost = planning.orphans(known, items.where(F.col("target").isNotNull()), files.there(known))
+        if config.by_hash and not config.force:
+            items = files.with_hashes(planning.doubtful(items, records, config.digest), F.col("doubtful")).drop("doubtful")
+        else:
+            items = items.withColumn("content_hash", F.lit(None).cast("string"))
+        items = held(planning.fingerprinted(items, records, existing, config.digest, config.force, config.by_hash))
+        lost = held(planning.orphans(known, items.where(F.col("target").isNotNull()), files.there(known)))
         return Plan(config, items, lost, stale.count())
 
     # Building
@@ -91,7 +126,7 @@ class Engine:
         """(pages, lines, ocr notes) of extracted documents, OCR'd pages' lines replaced."""
         pages = docs.select("rel", F.explode("document.pages").alias("p")).select("rel", F.col("p.number").alias("page_no"), "p.height", "p.source", "p.image_ratio", "p.lines")
         backend = None if config.ocr == "never" else ocr.get_backend()
-        notes = self.spark.createDataFrame([], "rel string, ocr struct<backend:string,pages:array<int>,chars:bigint>, over boolean, render_failed array<int>")
+        notes = self.spark.createDataFrame([], "rel string, ocr struct<backend:string,pages:array<int>,chars:bigint>, over boolean, ocr_notes array<string>")
         if backend is not None:
             pages, notes = self._recognized(docs, pages, config, backend)
         lines = pages.select("rel", "page_no", F.posexplode("lines")).select("rel", "page_no", F.col("pos").alias("line_no"), "col.text", "col.y0", "col.y1")
@@ -99,27 +134,28 @@ class Engine:
 
     def _recognized(self, docs: DataFrame, pages: DataFrame, config: Config, backend: ocr.OcrBackend) -> tuple[DataFrame, DataFrame]:
         """Pages without text go through the cache and the backend; the cache keeps every new result."""
-        digest = f"{config.digest}-{backend.name}-{config.ocr_dpi}-{OCR_SIDE}"
+        digest = ocr.cache_digest(config.digest, backend.name, config.ocr_dpi)
         work = docs.select("rel", "path", "kind", "content_hash", F.explode("document.pages_needing_ocr").alias("page_no"))
-        work = ocr.capped(work, config.max_ocr_pages, "rel").withColumn("digest", F.lit(digest))
+        work = held(ocr.capped(work, config.max_ocr_pages, "rel").withColumn("digest", F.lit(digest)))
         cache_path = f"{config.meta_dir}/cache/ocr"
         schema = f"content_hash string, page_no int, digest string, blocks {ocr.BLOCKS}"
+        keys = ["content_hash", "page_no", "digest"]
         cache = self.spark.read.schema(schema).parquet(f"file://{cache_path}") if os.path.exists(cache_path) else self.spark.createDataFrame([], schema)
-        _, misses = ocr.from_cache(work, cache.dropDuplicates(["content_hash", "page_no", "digest"]))
-        dpi = config.ocr_dpi
-        images = misses.dropDuplicates(["content_hash", "page_no"]).transform(_rendered, dpi)
-        ocr.recognized(images.where(F.col("image").isNotNull()), backend).write.mode("append").parquet(f"file://{cache_path}")
-        cache = self.spark.read.schema(schema).parquet(f"file://{cache_path}").dropDuplicates(["content_hash", "page_no", "digest"])
-        hits, still = ocr.from_cache(work, cache)
-        found = hits.select("rel", "page_no", "blocks")
-        as_lines = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["y0"].alias("y0"), b["y1"].alias("y1")))
-        joined = pages.join(found, ["rel", "page_no"], "left")
-        read = F.col("blocks").isNotNull()
-        pages = joined.select("rel", "page_no", F.when(read, F.lit(1.0)).otherwise(F.col("height")).alias("height"), F.when(read, "ocr").otherwise(F.col("source")).alias("source"), "image_ratio", F.when(read, as_lines).otherwise(F.col("lines")).alias("lines"))
+        _, misses = ocr.from_cache(work, cache.dropDuplicates(keys))
+        images = held(_rendered(misses.dropDuplicates(["content_hash", "page_no"]), config.ocr_dpi))
+        # Only pages that the cache lacks are added, so it holds each once but for runs that were cut off.
+        ocr.recognized(images.where("reason IS NULL"), backend).write.mode("append").parquet(f"file://{cache_path}")
+        cache = self.spark.read.schema(schema).parquet(f"file://{cache_path}").dropDuplicates(keys)
+        hits, _ = ocr.from_cache(work, cache)
+        found = held(hits.select("rel", "page_no", "blocks"))
+        pages = ocr.replaced(pages, found, "rel")
         done = ocr.summary(found.withColumnRenamed("rel", "doc")).select(F.col("doc").alias("rel"), F.struct(F.lit(backend.name).alias("backend"), "pages", "chars").alias("ocr"))
         over = work.groupBy("rel").agg(F.bool_or("partial").alias("over"))
-        failed = still.groupBy("rel").agg(F.sort_array(F.collect_set("page_no")).alias("render_failed"))
-        return pages, over.join(done, "rel", "left").join(failed, "rel", "left").select("rel", "ocr", "over", "render_failed")
+        said = lambda what: F.struct("page_no", F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), what).alias("note"))
+        failed = work.join(images.where("reason IS NOT NULL").select(*keys, "reason"), keys).select("rel", said(F.col("reason")).alias("n"))
+        blank = found.where(F.size("blocks") == 0).select("rel", said(F.lit("OCR read no text")).alias("n"))
+        noted = failed.unionByName(blank).groupBy("rel").agg(F.transform(F.array_sort(F.collect_set("n")), lambda n: n["note"]).alias("ocr_notes"))
+        return pages, over.join(done, "rel", "left").join(noted, "rel", "left").select("rel", "ocr", "over", "ocr_notes")
 
     def _texts(self, pages: DataFrame, lines: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
         """(pages with text, removed heads by rel)."""
@@ -128,12 +164,9 @@ class Engine:
         else:
             heads = L.running_heads(pages, lines, "rel")
             lines = L.without_heads(pages, lines, heads, "rel")
-        cleaned = lines.select("rel", "page_no", "line_no", F.posexplode(F.split(X.clean(F.col("text")), "\n")).alias("sub", "text"))
-        order = Window.partitionBy("rel", "page_no").orderBy("line_no", "sub")
-        flat = cleaned.withColumn("line_no", F.row_number().over(order))
-        merged = L.merge_soft_wraps(flat, ["rel", "page_no"]).select("rel", "page_no", L.collapse_blanks(F.col("text")).alias("text"))
+        texts = self.normalise(lines.select("rel", "page_no", "line_no", "text"), ["rel", "page_no"])
         removed = heads.groupBy("rel").agg(F.array_sort(F.collect_set("key")).alias("removed_running_heads"))
-        return pages.select("rel", "page_no", "source").join(merged, ["rel", "page_no"], "left").withColumn("text", F.coalesce("text", F.lit(""))), removed
+        return pages.select("rel", "page_no", "source").join(texts, ["rel", "page_no"], "left").withColumn("text", F.coalesce("text", F.lit(""))), removed
 
     def build(self, config: Config, dry_run: bool = False, on_record: Callable | None = None) -> Plan | Report:
         """Processes what changed, writes texts, state, INDEX and WARNINGS; with dry_run only the plan."""
@@ -143,12 +176,15 @@ class Engine:
         os.makedirs(config.meta_dir, exist_ok=True)
         prior, own, _ = sinks.load_state(self.spark, config.meta_dir)
         work = f"file://{config.meta_dir}/work"
-        plan.items.write.mode("overwrite").parquet(f"{work}/items")
+        # What is processed is hashed here, once; skipped and unchanged files are never opened again.
+        new = F.col("action").isin("extract", "register") & F.col("known_hash").isNull()
+        items = files.with_hashes(plan.items.withColumnRenamed("content_hash", "known_hash"), new)
+        items.select(*[c for c in plan.items.columns if c != "content_hash"], F.coalesce("known_hash", "content_hash").alias("content_hash")).select(*plan.items.columns).write.mode("overwrite").parquet(f"{work}/items")
         items = self.spark.read.schema(plan.items.schema).parquet(f"{work}/items")
         plan.orphans.write.mode("overwrite").parquet(f"{work}/orphans")
         todo = items.where("action = 'extract'")
         # Extraction runs once: its result is written before several frames read it.
-        todo.join(extract.extracted(todo.select("rel", "kind", "path")), "rel").write.mode("overwrite").parquet(f"{work}/documents")
+        todo.join(extract.extracted(todo.select("rel", "kind", "path"), config, config.ocr_page_threshold), "rel").write.mode("overwrite").parquet(f"{work}/documents")
         docs = self.spark.read.parquet(f"{work}/documents")
         pages, lines, notes = self._pages(docs, config)
         texts, heads = self._texts(pages, lines, config)
@@ -166,27 +202,23 @@ class Engine:
         written = sinks.write_texts(sidecars.join(targets, "rel"))
         written += sinks.copy_files(items.where("action = 'register' AND target IS NOT NULL"))
         artifacts = items.where("action IN ('extract', 'register', 'unchanged') AND target IS NOT NULL").select("target")
-        left = self.spark.read.parquet(f"{work}/orphans").join(artifacts, "target", "left_anti")
-        orphans = sorted(r["target"] for r in left.select("target").toLocalIterator())
-        pruned: list[str] = []
+        gone = artifacts.limit(0)
+        left = held(planning.left_over(self.spark.read.parquet(f"{work}/orphans"), artifacts, gone))
         if config.prune:
-            generated = {r["target"] for r in files.there(left).where("generated").toLocalIterator()}
-            pruned = sinks.prune(orphans, [os.path.abspath(config.root), config.meta_dir, config.other().meta_dir], generated)
-            orphans = [o for o in orphans if o not in set(pruned)]
+            marked = left.join(files.there(left), "target", "left").withColumn("generated", F.coalesce("generated", F.lit(False)))
+            gone = held(sinks.pruned(marked, [os.path.abspath(config.root), config.meta_dir, config.other().meta_dir]))
+            left = held(planning.left_over(left, artifacts, gone))
         # Orphans that stay are still artifacts: the next run must know them as its own.
-        still = self.spark.createDataFrame([(o,) for o in orphans], "target string")
-        sinks.save_state(records, artifacts.union(still).distinct(), config.meta_dir)
+        sinks.save_state(records, artifacts.union(left).distinct(), config.meta_dir)
         records, artifacts, _ = sinks.load_state(self.spark, config.meta_dir)
-        report = Report(records, orphans, pruned, written, plan.stale)
-        head = {"root": os.path.abspath(config.root), "mode": config.mode, "out": config.out, "config_digest": config.digest, "summary": {"files": records.count(), "written": written, "orphans": len(orphans), "pruned": len(pruned)}}
+        report = Report(records, left, gone, written, plan.stale)
+        head = {"root": os.path.abspath(config.root), "mode": config.mode, "out": config.out, "config_digest": config.digest, "summary": {"files": records.count(), "written": written, "orphans": left.count(), "pruned": gone.count()}}
         sinks.export_manifest(records, artifacts, config.meta_dir, head)
         write_index(records, config)
         write_warnings(records, config, plan.stale)
         if on_record is not None:
             for row in records.orderBy("rel").toLocalIterator():
                 on_record(row)
-        import shutil
-
         shutil.rmtree(f"{config.meta_dir}/work", ignore_errors=True)
         return report
 
@@ -205,15 +237,16 @@ class Engine:
         read = F.size(F.coalesce("ocr.pages", F.array().cast("array<int>"))) > 0
         unread = (F.size(d["pages_needing_ocr"]) > 0) & ~F.coalesce(read, F.lit(False))
         heavy = F.when(F.size(d["image_heavy_pages"]) > 0, F.concat(F.lit("image-heavy pages: "), F.array_join(d["image_heavy_pages"].cast("array<string>"), ", ")))
-        no_ocr = F.when(unread, f"pages without text were not read (ocr={config.ocr}, backend {'there' if ocr.get_backend() else 'missing'})")
+        n_unread = F.size(d["pages_needing_ocr"]).cast("string")
+        no_ocr = F.when(unread, F.concat(n_unread, F.lit(" pages have no text layer and weren't read: " + ("OCR is off (ocr=never)" if config.ocr == "never" else "no OCR backend is there" if ocr.get_backend() is None else "no page could be read"))))
         over = F.when(F.col("over"), f"only the first {config.max_ocr_pages} pages without text were read")
-        warnings = F.filter(F.concat("notes", d["warnings"], F.coalesce("reasons", none), F.array(heavy, over, no_ocr)), lambda x: x.isNotNull())
+        warnings = F.filter(F.concat("notes", d["warnings"], F.coalesce("reasons", none), F.coalesce("ocr_notes", none), F.array(heavy, over, no_ocr)), lambda x: x.isNotNull())
         status = F.when(failed, "failed").otherwise(F.col("status"))
         text = {
-            "status": status, "text_rel": _relative(F.col("target"), config), "extractor": F.when(read, F.concat_ws("+", d["extractor"], "ocr.backend")).otherwise(d["extractor"]), "error": d["reason"],
+            "status": status, "text_rel": _relative(F.col("target"), config), "extractor": F.when(read, F.concat_ws("+", d["extractor"], "ocr.backend")).otherwise(d["extractor"]), "skip_reason": d["reason"], "error": F.coalesce(d["message"], d["reason"]),
             "pages": F.when(d["total_pages"] > 0, d["total_pages"]).otherwise(F.size(d["pages"])).cast("long"), "chars": F.coalesce("chars", F.lit(0)).cast("long"), "chars_per_page_median": F.coalesce("median", F.lit(0)).cast("long"),
             "text_layer": d["text_layer"], "quality": F.when(~failed, F.col("status")), "has_math": F.coalesce("has_math", F.lit(False)), "has_tables": d["has_tables"], "partial": d["partial"] | F.coalesce("over", F.lit(False)),
-            "ocr": F.col("ocr"), "removed_running_heads": F.coalesce("removed_running_heads", none), "warnings": F.when(failed, F.concat("notes", F.array(d["message"]))).otherwise(warnings),
+            "ocr": F.col("ocr"), "removed_running_heads": F.coalesce("removed_running_heads", none), "warnings": F.when(failed, F.col("notes")).otherwise(warnings),
         }
         new = joined.select("rel", "kind", "bytes", "mtime_ns", "content_hash", *[c.alias(n) for n, c in text.items()])
         plain = items.where("action = 'register'").select("rel", "kind", "bytes", "mtime_ns", "content_hash", F.lit("registered").alias("status"), _relative(F.col("target"), config).alias("text_rel"), F.lit("passthrough").alias("extractor"), F.col("notes").alias("warnings"))
@@ -232,12 +265,13 @@ class Engine:
     def status(self, config: Config) -> Report:
         """What the state says, and the targets that are left over; nothing is written."""
         records, artifacts, found = sinks.load_state(self.spark, config.meta_dir)
-        named = records.select("rel", F.when(F.col("text_rel").isNotNull(), F.concat(F.lit(_base(config)), "text_rel")).alias("target"))
+        named = records.select("rel", F.when(F.col("text_rel").isNotNull(), P.joined(_base(config), F.col("text_rel"))).alias("target"))
         every = artifacts.union(named.where(F.col("target").isNotNull()).select("target")).distinct()
         sources = files.there(records.select(F.concat(F.lit(os.path.abspath(config.root) + "/"), "rel").alias("target"))).select(F.expr(f"substring(target, {len(os.path.abspath(config.root)) + 2})").alias("rel"))
         lost = planning.status_orphans(named, artifacts, sources, files.there(every))
         stale = self._stale(config) if found else artifacts.limit(0)
-        return Report(records, sorted(r["target"] for r in lost.union(stale).distinct().collect()), stale=stale.count())
+        left = held(lost.union(stale).distinct())
+        return Report(records, left, left.limit(0), stale=stale.count())
 
 
 def _base(config: Config) -> str:
@@ -245,55 +279,43 @@ def _base(config: Config) -> str:
     return (config.text_root if config.mode == "in-place" else config.meta_dir) + "/"
 
 
-def _relative(target, config: Config):
-    return F.expr(f"substring(target, {len(_base(config)) + 1})")
+def _relative(target: Column, config: Config) -> Column:
+    return P.below(target, _base(config))
 
 
-def _rendered(work: DataFrame, dpi: int) -> DataFrame:
-    """Adds the image of a page: an image file itself, a slide's first picture, or a rasterised PDF page; null where that fails."""
-    import pyarrow as pa
-
-    def image_of(path: str, kind: str, number: int) -> bytes | None:
+def images_of(path: str, kind: str, number: int, dpi: int) -> tuple[list[bytes], str | None]:
+    """The images of a page: an image file itself, a slide's pictures, or a rasterised PDF page; else why there are none."""
+    if kind == "pptx":
         try:
-            if kind == "image":
-                with open(path, "rb") as file:
-                    return file.read()
-            if kind == "pdf":
-                import pymupdf
-
-                with pymupdf.open(path) as file:
-                    page = file[number - 1]
-                    scale = min(dpi / 72, OCR_SIDE / max(page.rect.width, page.rect.height))
-                    return page.get_pixmap(matrix=pymupdf.Matrix(scale, scale)).tobytes("png")
-            if kind == "pptx":
-                return extract_picture(path, number)
-        except Exception:
-            return None
-        return None
-
-    def add(it: Iterator) -> Iterator:
-        for batch in it:
-            found = [image_of(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "page_no")), strict=True)]
-            yield pa.record_batch([*(batch.column(c) for c in ("content_hash", "page_no", "digest")), pa.array(found, pa.binary())], names=["content_hash", "page_no", "digest", "image"])
+            found = extract.pictures(path, number)
+        except Exception as error:
+            return [], f"pptx_image_read_failed ({type(error).__name__}: {error})"
+        return (found, None) if found else ([], "pptx_render_unavailable (the slide has no picture that could be read)")
+    try:
+        if kind == "image":
+            with open(path, "rb") as file:
+                return [file.read()], None
+        if kind == "pdf":
+            import pymupdf
+
+            with pymupdf.open(path) as file:
+                page = file.load_page(number - 1)
+                scale = min(dpi / 72, OCR_SIDE / max(page.rect.width, page.rect.height))
+                return [page.get_pixmap(matrix=pymupdf.Matrix(scale, scale), alpha=False).tobytes("png")], None
+    except Exception as error:
+        return [], f"ocr_rasterize_failed ({type(error).__name__}: {error})"
+    return [], f"ocr_unsupported ({kind})"
 
-    return work.mapInArrow(add, "content_hash string, page_no int, digest string, image binary")
 
+def _rendered(work: DataFrame, dpi: int) -> DataFrame:
+    """The images of pages (content_hash, page_no, digest, images), or the reason why there are none."""
 
-def extract_picture(path: str, number: int) -> bytes | None:
-    """The bytes of a slide's picture that is nearest to the top left."""
-    import zipfile
-    from xml.etree import ElementTree
+    def add(it: Iterator) -> Iterator:
+        for batch in it:
+            found = [images_of(*x, dpi) for x in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "page_no")), strict=True)]
+            yield pa.record_batch([*(batch.column(c) for c in ("content_hash", "page_no", "digest")), pa.array([x for x, _ in found], pa.list_(pa.binary())), pa.array([x for _, x in found], pa.string())], names=["content_hash", "page_no", "digest", "images", "reason"])
 
-    with zipfile.ZipFile(path) as archive:
-        part = [p for p, _ in extract._slides(archive)][number - 1]
-        rels = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read(f"ppt/slides/_rels/{part.rsplit('/', 1)[-1]}.rels"))}
-        found = []
-        for i, pic in enumerate(ElementTree.fromstring(archive.read(part)).iter(f"{extract.PML}pic")):
-            off, blip = next(pic.iter(f"{extract.A}off"), None), next(pic.iter(f"{extract.A}blip"), None)
-            place = (int(off.get("y")), int(off.get("x"))) if off is not None else (1 << 40, 1 << 40)
-            if blip is not None:
-                found.append((place, i, "ppt/media/" + rels[blip.get(f"{extract.R}embed")].rsplit("/", 1)[-1]))
-        return archive.read(min(found)[2]) if found else None
+    return work.select("content_hash", "page_no", "digest", "path", "kind").mapInArrow(add, "content_hash string, page_no int, digest string, images array<binary>, reason string")
 
 
 _HEADER = "| source | text | kind | pages | status | advice | notes |\n|---|---|---|---|---|---|---|\n"
@@ -307,7 +329,7 @@ def _summary(records: DataFrame) -> str:
 def write_index(records: DataFrame, config: Config) -> list[str]:
     """INDEX.md; from SHARD_FILES records on, a file per top directory and a table of them. Rows stream, they aren't gathered."""
     head = f"# Index\n\nMode `{config.mode}`, source `{os.path.abspath(config.root)}`.\n\n{_summary(records)}\n"
-    rows = reports.index_rows(records.withColumn("ocr_pages", F.coalesce(F.size("ocr.pages"), F.lit(0)))).orderBy("top_dir", "rel")
+    rows = reports.index_rows(records.withColumn("ocr_pages", F.coalesce(F.size("ocr.pages"), F.lit(0))))
     index = f"{config.meta_dir}/INDEX.md"
     if records.count() <= SHARD_FILES:
 
@@ -317,24 +339,20 @@ def write_index(records: DataFrame, config: Config) -> list[str]:
 
         sinks.write_atomic(index, body())
         return [index]
-    written, nav = [], []
-    for shard in reports.shard_counts(records).orderBy("top_dir").collect():
-        name = shard["top_dir"]
-        # No directory's name can clash: a percent sign is escaped in it, the group of the root has one.
-        safe = "%root" if name == "(root)" else name.replace("%", "%25")
-        path = f"{config.meta_dir}/index/{safe}.md"
-        some = rows.where(F.col("top_dir") == name).orderBy("rel")
-        counts = ", ".join(f"{s} {shard[f'n_{s}']}" for s in STATUSES if shard[f"n_{s}"])
-
-        def body(some: DataFrame = some, name: str = name, counts: str = counts, n: int = shard["files"]) -> Iterator[str]:
-            yield f"# {name}\n\n{n} files: {counts}\n\n{_HEADER}"
-            yield from (r["row"] + "\n" for r in some.toLocalIterator())
-
-        sinks.write_atomic(path, body())
-        written.append(path)
-        nav.append(f"| `{name}` | {shard['files']} | [open](index/{safe.replace('%', '%25').replace(' ', '%20')}.md) |\n")
-    sinks.write_atomic(index, head + "| directory | files | list |\n|---|---|---|\n" + "".join(nav))
-    return [*written, index]
+    # No directory's name can clash: a percent sign is escaped in it, the group of the root has one.
+    safe = F.when(F.col("top_dir") == "(root)", "%root").otherwise(F.replace("top_dir", F.lit("%"), F.lit("%25")))
+    listed = F.concat_ws(", ", *[F.when(F.col(f"n_{s}") > 0, F.concat(F.lit(f"{s} "), F.col(f"n_{s}").cast("string"))) for s in STATUSES])
+    shards = held(reports.shard_counts(records).withColumn("safe", safe).withColumn("counts", listed))
+    heads = shards.select("top_dir", F.concat(F.lit(f"{config.meta_dir}/index/"), "safe", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "top_dir", F.lit("\n\n"), F.col("files").cast("string"), F.lit(" files: "), "counts", F.lit("\n\n" + _HEADER)).alias("head"))
+    sinks.write_sections(rows.join(heads, "top_dir").select("path", "head", F.col("rel").alias("place"), "row"))
+
+    def nav() -> Iterator[str]:
+        yield head + "| directory | files | list |\n|---|---|---|\n"
+        for r in shards.orderBy("top_dir").toLocalIterator():
+            yield f"| `{r['top_dir']}` | {r['files']} | [open](index/{r['safe'].replace('%', '%25').replace(' ', '%20')}.md) |\n"
+
+    sinks.write_atomic(index, nav())
+    return [index, *(f"{config.meta_dir}/index/{r['safe']}.md" for r in shards.orderBy("top_dir").toLocalIterator())]
 
 
 def write_warnings(records: DataFrame, config: Config, stale: int = 0) -> str:

@@ -34,6 +34,16 @@ def target_path(rel: Column, kind: Column, mode: str, text_root: str) -> Column:
     return F.when(kind == "plaintext", plain).otherwise(sidecar_path(rel, text_root))
 
 
+def below(path: Column, base: str) -> Column:
+    """The path relative to a folder that it lies in; so records stay true when the tree moves."""
+    return F.substring(path, F.lit(len(base.rstrip("/")) + 2), F.length(path))
+
+
+def joined(base: str, rel: Column) -> Column:
+    """The reverse of below()."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), rel)
+
+
 def top_dir(rel: Column, root: str = "(root)") -> Column:
     """The first directory; files at the top are a group of their own, whose name no directory can have in an escaped file name."""
     return F.when(F.instr(rel, "/") > 0, F.split_part(rel, F.lit("/"), F.lit(1))).otherwise(root)

@@ -72,6 +72,13 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
+def unwrapped(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text) of every page from its lines (keys, line_no, text): cleaned, soft wraps merged, blanks collapsed."""
+    cleaned = lines.select(*keys, "line_no", F.posexplode(F.split(X.clean(F.col("text")), "\n")).alias("sub", "text"))
+    flat = cleaned.withColumn("line_no", F.row_number().over(Window.partitionBy(*keys).orderBy("line_no", "sub")))
+    return merge_soft_wraps(flat, keys).select(*keys, collapse_blanks(F.col("text")).alias("text"))
+
+
 def normalise_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Clean, unwrapped and collapsed text of every page (keys, text)."""
     lines = explode_lines(pages.withColumn("text", X.clean(F.col("text"))), keys)

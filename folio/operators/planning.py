@@ -115,11 +115,30 @@ def fingerprinted(items: DataFrame, prior: DataFrame, existing: DataFrame, confi
     return out.drop("is_there", *[c for c in out.columns if c.startswith("prior_")])
 
 
+def without_artifacts(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Items (path, generated, ...) that aren't artifacts: neither on record (target) nor generated by their looks."""
+    return items.where(~F.col("generated")).join(known.select(F.col("target").alias("path")).distinct(), "path", "left_anti").drop("generated")
+
+
+def doubtful(items: DataFrame, prior: DataFrame, config_digest: str) -> DataFrame:
+    """Adds doubtful: only a hash can tell whether the file changed, since all but its time is as it was."""
+    old = prior.select("rel", F.col("bytes").alias("prior_bytes"), F.col("mtime_ns").alias("prior_mtime_ns"), F.col("config_digest").alias("prior_digest"), F.col("pipeline_version").alias("prior_version"))
+    same = (F.col("bytes") == F.col("prior_bytes")) & (F.col("prior_digest") == config_digest) & (F.col("prior_version") == PIPELINE_VERSION)
+    open_ = F.col("action").isin("extract", "register")
+    marked = items.join(old, "rel", "left").withColumn("doubtful", F.coalesce(open_ & same & (F.col("mtime_ns") != F.col("prior_mtime_ns")), F.lit(False)))
+    return marked.drop("prior_bytes", "prior_mtime_ns", "prior_digest", "prior_version")
+
+
 def orphans(artifacts: DataFrame, expected: DataFrame, existing: DataFrame) -> DataFrame:
     """Known artifacts that exist and that no item writes any more."""
     return artifacts.select("target").distinct().join(expected.select("target"), "target", "left_anti").join(existing.select("target"), "target", "left_semi")
 
 
+def left_over(orphans: DataFrame, written: DataFrame, gone: DataFrame) -> DataFrame:
+    """Orphans (target) that were neither written in this run nor deleted."""
+    return orphans.select("target").distinct().join(written.select("target"), "target", "left_anti").join(gone.select("target"), "target", "left_anti")
+
+
 def status_orphans(records: DataFrame, artifacts: DataFrame, sources: DataFrame, existing: DataFrame) -> DataFrame:
     """Targets that are left over: of records (rel, target) whose source is gone, and artifacts that no record names."""
     named = records.where(F.col("target").isNotNull())

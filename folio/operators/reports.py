@@ -91,9 +91,22 @@ def sidecars(records: DataFrame, pages: DataFrame, label: str = "Page", stamp: C
     return records.join(body, "rel", "left").select("rel", F.concat(F.regexp_replace(text, "\n+$", ""), F.lit("\n")).alias("text"))
 
 
-def run_summary(records: DataFrame, written: Column, orphans: int | Column = 0) -> DataFrame:
-    """One row: files, written, orphans, failed and whether any failed."""
-    return records.agg(F.count(F.lit(1)).alias("files"), F.count_if(written).alias("written"), F.lit(orphans).cast("long").alias("orphans"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.bool_or(F.col("status") == "failed"), F.lit(False)).alias("any_failed"))
+def run_summary(records: DataFrame, written: Column, orphans: DataFrame) -> DataFrame:
+    """One row: files, written, orphans (a table), failed and whether any failed."""
+    of_records = records.agg(F.count(F.lit(1)).alias("files"), F.count_if(written).alias("written"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.bool_or(F.col("status") == "failed"), F.lit(False)).alias("any_failed"))
+    # One row beside one row.
+    return of_records.join(F.broadcast(orphans.agg(F.count(F.lit(1)).alias("orphans"))), F.lit(True)).select("files", "written", "orphans", "failed", "any_failed")
+
+
+def placed(rows: DataFrame, by: str) -> DataFrame:
+    """Adds place, the row's number in the order of `by`: rows are numbered within ranges, and ranges' sizes are added up."""
+    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(spread, by).withColumn("part", F.spark_partition_id())
+    ranged = ranged.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(by)))
+    # A row for each range.
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return ranged.join(F.broadcast(before), "part").select(*rows.columns, (F.col("before") + F.col("own")).cast("long").alias("place"))
 
 
 def first_orphans(orphans: DataFrame, n: int = 20) -> DataFrame:

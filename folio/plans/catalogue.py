@@ -6,16 +6,20 @@ wraps and clashes put in by rule, the same way in Spark and in SQL.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folio.functions import paths as P
 from folio.functions import text as X
 from folio.operators import lines as L
-from folio.operators import ocr, planning, quality, reports
-from folio.schema import PIPELINE_VERSION
+from folio.operators import geometry, ocr, planning, quality, reports
+from folio.schema import ELEMENT, PARSED, PIPELINE_VERSION
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,11 +189,16 @@ def dehyphenate(spark, sf_dir):
 
 
 _CJK_VALUES = ", ".join(f"({d}, {i}, '{t}')" for d, i, t in CJK_LINES)
+#: Vowels, commas and full stops of the wrapped lines written as CJK characters, so that most lines end or begin with one.
+CJK_FROM, CJK_TO = "aeiou,.", "文字中日本，。"
+CJK_SQL = f"SELECT doc_id, line_no, translate(line, '{CJK_FROM}', '{CJK_TO}') AS line FROM ({WRAPPED_SQL}) UNION ALL SELECT -doc_id, line_no, line FROM (VALUES {_CJK_VALUES}) v(doc_id, line_no, line)"
 
 
-@query(f"WITH {_merged_ctes(f'SELECT * FROM (VALUES {_CJK_VALUES}) v(doc_id, line_no, line)')} SELECT doc_id, merged_lines, text FROM merged")
+@query(f"WITH {_merged_ctes(CJK_SQL)} SELECT doc_id, merged_lines, md5(text) AS text_md5 FROM merged")
 def cjk_wrap_merge(spark, sf_dir):
-    return L.merge_soft_wraps(spark.createDataFrame(CJK_LINES, "doc_id long, line_no int, text string"), ["doc_id"]).select("doc_id", "merged_lines", "text")
+    written = spark.createDataFrame([(-d, i, t) for d, i, t in CJK_LINES], "doc_id long, line_no int, text string")
+    lines = _wrapped(spark, sf_dir).withColumn("text", F.translate("text", CJK_FROM, CJK_TO)).unionByName(written)
+    return L.merge_soft_wraps(lines, ["doc_id"]).select("doc_id", "merged_lines", F.md5("text").alias("text_md5"))
 
 
 def _collapsed(t: str) -> str:
@@ -293,6 +302,15 @@ def _quality(spark, sf_dir) -> DataFrame:
     return quality.assess(damaged(_docs(spark, sf_dir)).withColumn("page_no", F.lit(1)), doc="doc_id")
 
 
+@query(f"""WITH {DAMAGED_SQL}, r AS (SELECT doc_id, length(text) AS chars, {_ratios('text')} FROM damaged), g AS (SELECT *, {_status_sql('nonspace')} AS status FROM r)
+SELECT doc_id, array_to_string(CASE status WHEN 'empty' THEN ['characters that aren''t white space ' || nonspace || ' (under 50)'] WHEN 'ok' THEN [] WHEN 'low' THEN
+  list_filter([CASE WHEN nonspace < 100 THEN 'median characters of a page ' || nonspace || ' (under 100)' END, CASE WHEN chars < 200 THEN 'characters ' || chars || ' (under 200)' END], lambda x: x IS NOT NULL)
+  ELSE list_filter([CASE WHEN fffd > 0.01 THEN printf('replacement characters %.1f%% (over 1%%)', 100 * fffd) END, CASE WHEN private > 0.05 THEN printf('private-use or unassigned characters %.1f%% (over 5%%)', 100 * private) END,
+    CASE WHEN latin >= 20 AND latin > cjk AND nonspace / nullif(tokens, 0)::DOUBLE < 1.5 THEN printf('mean token length %.2f (under 1.5)', nonspace / nullif(tokens, 0)::DOUBLE) END], lambda x: x IS NOT NULL) END, '; ') AS reasons FROM g""")
+def quality_reasons(spark, sf_dir):
+    return _quality(spark, sf_dir).select("doc_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query(f"{QUALITY_SQL} SELECT * FROM q")
 def quality_by_doc(spark, sf_dir):
     return _quality(spark, sf_dir).select("doc_id", "chars", "nonspace", "median", "status")
@@ -334,7 +352,7 @@ SELECT doc, CASE WHEN count(*) FILTER (n < 30) = count(*) THEN 'none' WHEN count
 FROM (SELECT doc, {_nonspace('text')} AS n FROM ({CONV_SQL})) GROUP BY doc
 """)
 def text_layer_class(spark, sf_dir):
-    return _conv(spark, sf_dir).groupBy("doc").agg(quality.text_layer(X.nonspace(F.col("text"))).alias("layer"))
+    return _conv(spark, sf_dir).groupBy("doc").agg(F.collect_list(X.nonspace(F.col("text"))).alias("counts")).select("doc", geometry.text_layer(F.col("counts")).alias("layer"))
 
 
 MATH_SQL = "CASE WHEN doc_id % 3 = 0 THEN text || repeat('∑≤', (doc_id % 7)::INT) ELSE text END"
@@ -376,7 +394,20 @@ def ocr_cache_join(spark, sf_dir):
 @query(f"SELECT doc, page_no, CASE WHEN hit THEN 'ocr' ELSE source END AS source, md5(CASE WHEN hit THEN 'read: ' || text ELSE text END) AS text_md5 FROM (SELECT *, page_no % 3 <> 0 AND page_no % 5 <> 0 AS hit FROM ({CONV_SQL}))")
 def ocr_replace_pages(spark, sf_dir):
     hits, _ = ocr.from_cache(*_work(spark, sf_dir))
-    return ocr.replaced(_conv(spark, sf_dir), hits).select("doc", "page_no", "source", F.md5("text").alias("text_md5"))
+    nowhere = F.lit(None).cast("double")
+    pages = _conv(spark, sf_dir).select("doc", "page_no", "source", nowhere.alias("height"), F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text"), nowhere.alias("y0"), nowhere.alias("y1"))).alias("lines"))
+    return ocr.replaced(pages, hits).select("doc", "page_no", "source", F.md5(F.array_join(F.transform("lines", lambda line: line["text"]), "\n")).alias("text_md5"))
+
+
+@query(f"""
+WITH w AS (SELECT doc, page_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc, page_no, string_split(text, ' ') AS ws FROM ({CONV_SQL})))
+SELECT doc, page_no, md5(string_agg(word, ' ' ORDER BY CASE WHEN i % 5 = 0 THEN 1.0 ELSE (i * 37 % 10) / 10.0 END, i)) AS words_md5 FROM w GROUP BY ALL
+""")
+def ocr_block_order(spark, sf_dir):
+    place = lambda i: F.when((i + 1) % 5 != 0, ((i + 1) * 37 % 10) / F.lit(10.0))
+    blocks = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), F.lit(1.0).alias("confidence"), place(i).alias("y0"), place(i).alias("y1")))
+    found = _conv(spark, sf_dir).select("doc", "page_no", ocr.in_order(blocks).alias("blocks"))
+    return found.select("doc", "page_no", F.md5(F.array_join(F.transform("blocks", lambda b: b["text"]), " ")).alias("words_md5"))
 
 
 @query(f"SELECT doc, list_sort(list(page_no)) AS pages, sum(length(text) + 6)::BIGINT AS chars FROM ({CONV_SQL}) WHERE page_no % 3 <> 0 AND page_no % 5 <> 0 GROUP BY doc")
@@ -491,12 +522,55 @@ def orphans_status(spark, sf_dir):
     return planning.status_orphans(prior, prior.select("target").union(extra), planned.select("rel"), existing)
 
 
-@query(f"WITH {PRIOR_SQL} SELECT DISTINCT target FROM (SELECT 'root/' || rel || '.md' AS target FROM planned WHERE doc_id % 9 = 0 UNION ALL SELECT target FROM prior) WHERE target NOT IN (SELECT target FROM planned)")
+@query(f"""WITH {PRIOR_SQL}, known AS (SELECT 'root/' || rel || '.md' AS target FROM planned WHERE doc_id % 9 = 0 UNION ALL SELECT target FROM prior)
+SELECT DISTINCT target FROM known WHERE target NOT IN (SELECT target FROM planned) AND NOT regexp_matches(target, '[37]\\.')""")
 def stale_other_mode(spark, sf_dir):
     planned = _planned(spark, sf_dir)
     stale = planned.where("doc_id % 9 = 0").select(F.concat(F.lit("root/"), "rel", F.lit(".md")).alias("target"))
-    both = stale.union(_prior(planned).select("target")).distinct()
-    return planning.orphans(both, planned, both)
+    known = stale.union(_prior(planned).select("target")).distinct()
+    # Of everything that is or was there, files whose number ends in 3 or 7 are gone.
+    there = known.union(planned.select("target")).where(~F.col("target").rlike(r"[37]\."))
+    return planning.orphans(known, planned, there)
+
+
+@query(f"WITH {PRIOR_SQL} SELECT rel FROM planned WHERE doc_id % 4 <> 0 AND target NOT IN (SELECT target FROM prior WHERE rel LIKE '%1.%')")
+def artifact_exclusion(spark, sf_dir):
+    """Files that look generated or are on record as artifacts are no sources."""
+    planned = _planned(spark, sf_dir)
+    known = _prior(planned).where("rel LIKE '%1.%'").select("target")
+    items = planned.select("rel", F.col("target").alias("path"), (F.col("doc_id") % 4 == 0).alias("generated"))
+    return planning.without_artifacts(items, known).select("rel")
+
+
+@query(f"WITH {PRIOR_SQL} SELECT p.rel, coalesce(p.action IN ('extract', 'register') AND p.bytes = o.bytes AND o.version = '{PIPELINE_VERSION}' AND p.doc_id % 2 = 1, false) AS doubtful FROM planned p LEFT JOIN prior o USING (rel)")
+def doubtful_files(spark, sf_dir):
+    """Which files must be hashed to tell whether they changed: odd ones got another time."""
+    planned = _planned(spark, sf_dir)
+    items = planned.withColumn("mtime_ns", F.col("mtime_ns") + F.col("doc_id") % 2)
+    return planning.doubtful(items, _prior(planned).drop("target"), DIGEST).select("rel", "doubtful")
+
+
+@query(f"""WITH {PRIOR_SQL}, orphans AS (SELECT DISTINCT target, row_number() OVER (ORDER BY target) AS i FROM (SELECT DISTINCT target FROM prior)),
+left_ AS (SELECT target FROM orphans WHERE target NOT IN (SELECT target FROM planned WHERE action = 'extract'))
+SELECT target FROM left_ WHERE target NOT LIKE '%5.%'""")
+def orphans_left(spark, sf_dir):
+    """Orphans that this run neither wrote nor deleted."""
+    planned = _planned(spark, sf_dir)
+    known = _prior(planned).select("target").distinct()
+    return planning.left_over(known, planned.where("action = 'extract'").select("target"), known.where("target LIKE '%5.%'"))
+
+
+@query(f"WITH {PLAN_SQL} SELECT rel, row_number() OVER (ORDER BY rel) AS place FROM planned")
+def plan_order(spark, sf_dir):
+    """Places by rel over the whole plan: counts by range first, so that no task sorts everything."""
+    return reports.placed(_planned(spark, sf_dir).select("rel"), "rel")
+
+
+@query(f"WITH {FILES_SQL} SELECT rel, 'text/' || rel AS text_rel, '/m/text/' || rel AS back FROM files")
+def relative_paths(spark, sf_dir):
+    target = F.concat(F.lit("/m/text/"), "rel")
+    found = _files(spark, sf_dir).select("rel", P.below(target, "/m").alias("text_rel"))
+    return found.select("rel", "text_rel", P.joined("/m", F.col("text_rel")).alias("back"))
 
 
 RECORDS_SQL = PRIOR_SQL + f""", quality AS (SELECT doc_id, status FROM ({QUALITY_SQL.replace('WITH ', 'WITH ')} SELECT * FROM q)),
@@ -565,19 +639,32 @@ def warnings_rows(spark, sf_dir):
     return reports.warning_rows(_records(spark, sf_dir))
 
 
+@query(f"""{RECORDS} SELECT split_part(rel, '/', 1) AS top_dir, md5(string_agg('| `' || rel || '` | ' || CASE WHEN text_rel IS NULL THEN '-' ELSE '[text](' || text_rel || ')' END || ' | ' || kind || ' | ' || CASE WHEN pages > 0 THEN pages::VARCHAR ELSE '-' END || ' | ' || status || ' | ' || {_ADVICE_SQL} || ' | ' || {_NOTE_SQL} || ' |', chr(10) ORDER BY rel)) AS rows_md5 FROM records GROUP BY 1""")
+def index_sections(spark, sf_dir):
+    """The rows of each directory's index, in order."""
+    rows = reports.index_rows(_records(spark, sf_dir)).groupBy("top_dir").agg(F.array_sort(F.collect_list(F.struct("rel", "row"))).alias("rows"))
+    return rows.select("top_dir", F.md5(F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("rows_md5"))
+
+
+@query(f"{RECORDS} SELECT status, rel, row_number() OVER (PARTITION BY status ORDER BY rel) AS place FROM records WHERE status IN ('low', 'empty', 'garbled', 'failed', 'skipped') OR len(warnings) > 0")
+def problem_order(spark, sf_dir):
+    rows = reports.warning_rows(_records(spark, sf_dir)).select("status", "rel").distinct()
+    return rows.select("status", "rel", F.row_number().over(Window.partitionBy("status").orderBy("rel")).cast("long").alias("place"))
+
+
 def _yaml_sql(t: str) -> str:
     quoted = f"""'"' || replace(replace(replace({t}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"'"""
     return f"""CASE WHEN {t} = '' THEN '""' WHEN regexp_matches({t}, '[:#{{}}\\[\\]&*!|>%@`"''\\n]') OR {_stripped(t)} <> {t} THEN {quoted} ELSE {t} END"""
 
 
-_SCALAR_SQL = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN ' ' || left(text, 20) WHEN 2 THEN left(text, 12) || ': \"x\"' WHEN 3 THEN 'a\\b#' ELSE left(text, 30) END"
+_SCALAR_SQL = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN ' ' || text WHEN 2 THEN text || ': \"x\"' WHEN 3 THEN 'a\\b#' || text WHEN 4 THEN split_part(text, chr(10), 1) ELSE text END"
 
 
-@query(f"SELECT doc_id, v AS value, {_yaml_sql('v')} AS quoted FROM (SELECT doc_id, {_SCALAR_SQL} AS v FROM documents)")
+@query(f"SELECT doc_id, md5(v) AS value_md5, md5({_yaml_sql('v')}) AS quoted_md5 FROM (SELECT doc_id, {_SCALAR_SQL} AS v FROM documents)")
 def yaml_scalar(spark, sf_dir):
     m, t = F.col("doc_id") % 6, F.col("text")
-    value = F.when(m == 0, "").when(m == 1, F.concat(F.lit(" "), F.left(t, F.lit(20)))).when(m == 2, F.concat(F.left(t, F.lit(12)), F.lit(': "x"'))).when(m == 3, "a\\b#").otherwise(F.left(t, F.lit(30)))
-    return _docs(spark, sf_dir).select("doc_id", value.alias("value")).select("doc_id", "value", X.yaml_scalar(F.col("value")).alias("quoted"))
+    value = F.when(m == 0, "").when(m == 1, F.concat(F.lit(" "), t)).when(m == 2, F.concat(t, F.lit(': "x"'))).when(m == 3, F.concat(F.lit("a\\b#"), t)).when(m == 4, F.split_part(t, F.lit("\n"), F.lit(1))).otherwise(t)
+    return _docs(spark, sf_dir).select("doc_id", value.alias("value")).select("doc_id", F.md5("value").alias("value_md5"), F.md5(X.yaml_scalar(F.col("value"))).alias("quoted_md5"))
 
 
 FRONT_SQL = f"""concat_ws(chr(10), '---', 'schema_version: 1', 'source_rel: ' || {_yaml_sql('rel')}, 'bytes: ' || bytes, 'content_hash: ' || {_yaml_sql('content_hash')}, 'kind: ' || kind, 'pages: ' || pages, 'extractor: ""', 'text_layer: n/a',
@@ -638,39 +725,51 @@ def ignore_match(spark, sf_dir):
 
 # Geometry and tables
 
-GEO_SQL = f"lines AS (SELECT doc_id AS page, line_no, line, round(line_no * 10 + (line_no % 3) * 0.25, 2) AS y0, (line_no * 37) % 5 AS x0 FROM ({LINES_SQL}) WHERE line_no <= 12 AND trim(line) <> '')"
+GEO_SQL = f"lines AS (SELECT doc_id AS page, line_no, line, round(line_no * 10 + (line_no % 3) * 0.25, 2) AS y0, (line_no * 37) % 5 AS x0 FROM ({LINES_SQL}) WHERE {_stripped('line')} <> '')"
 
 
-def _spans(spark, sf_dir) -> DataFrame:
-    lines = L.explode_lines(_docs(spark, sf_dir), ["doc_id"]).where("line_no <= 12 AND trim(text) <> ''")
-    return lines.select(F.col("doc_id").alias("page"), "line_no", "text", F.round(F.col("line_no") * 10 + (F.col("line_no") % 3) * 0.25, 2).alias("y0"), ((F.col("line_no") * 37) % 5).alias("x0"))
+def _elements(kind: str, **given: Column) -> Column:
+    """An element with the given fields, the others null."""
+    return F.struct(*[(F.lit(kind) if f.name == "kind" else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in ELEMENT])
 
 
 @query(f"""
-WITH {GEO_SQL}, kept AS (SELECT page, line, y0, x0::DOUBLE AS x0, line_no FROM lines WHERE NOT (page % 2 = 0 AND y0 + 4 BETWEEN 35 AND 65)),
-every AS (SELECT * FROM kept UNION ALL SELECT page, '| a | b |', 35, 1 + 1e-6 * i, 100 + i FROM (SELECT DISTINCT page FROM lines WHERE page % 2 = 0), generate_series(0, 1) t(i))
-SELECT page, row_number() OVER (PARTITION BY page ORDER BY round(y0, 1), x0, line_no) AS ord, line AS text FROM every
+WITH {GEO_SQL}, kept AS (SELECT page, line, y0, x0::DOUBLE AS x0, line_no::BIGINT AS arrival FROM lines WHERE NOT (page % 2 = 0 AND y0 + 4 BETWEEN 35 AND 65)),
+cells AS (SELECT page, unnest(['', '| a | b |', '|---|---|', '| ' || page || ' |  |', '']) AS line, unnest([35, 35, 35, 35, 65]) AS y0, unnest([1, 1, 1 + 1e-6, 1 + 2e-6, 1]) AS x0, unnest([1000000000, 1000000001, 1000000002, 1000000003, 1000000004]) AS arrival FROM (SELECT DISTINCT page FROM lines WHERE page % 2 = 0)),
+every AS (SELECT * FROM kept UNION ALL SELECT * FROM cells)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY round(y0, 1), x0, arrival) AS ord, line AS text FROM every
 """)
 def reading_order(spark, sf_dir):
-    from folio.operators.geometry import in_reading_order
-
-    spans = _spans(spark, sf_dir)
-    tables = spans.where("page % 2 = 0").select("page").distinct().select("page", F.lit(35.0).alias("top"), F.lit(65.0).alias("bottom"), F.array(F.lit("| a | b |"), F.lit("| a | b |")).alias("rows"))
-    return in_reading_order(spans, tables)
+    lines = L.explode_lines(_docs(spark, sf_dir), ["doc_id"])
+    y0, x0 = F.round(F.col("line_no") * 10 + (F.col("line_no") % 3) * 0.25, 2), (F.col("line_no") * 37) % 5
+    line = _elements("line", text=F.col("text"), x0=x0, y0=y0, x1=x0 + 20, y1=y0 + 8)
+    table = _elements("table", x0=F.lit(1.0), y0=F.lit(35.0), x1=F.lit(100.0), y1=F.lit(65.0), cells=F.array(F.array(F.lit(" a"), F.lit("b")), F.array(F.col("page").cast("string"))))
+    pages = lines.groupBy(F.col("doc_id").alias("page")).agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("e")))).alias("ls"), F.bool_or(X.strip(F.col("text")) != "").alias("said"))
+    elements = F.concat(F.transform("ls", lambda x: x["e"]), F.when((F.col("page") % 2 == 0) & F.col("said"), F.array(table)).otherwise(F.array().cast(f"array<{ELEMENT.simpleString()}>")))
+    placed = pages.select("page", F.posexplode(geometry.placed_lines(elements)))
+    return placed.select("page", (F.col("pos") + 1).cast("long").alias("ord"), "col.text")
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10))[1:3], lambda l: string_split(trim(regexp_replace(l, '[\s]+', ' ', 'g')), ' ')[1:(doc_id % 4 + 1)::INT]) AS cells FROM documents),
+WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: string_split(trim(regexp_replace(l, '[\s]+', ' ', 'g')), ' ')) AS cells FROM documents),
 w AS (SELECT doc_id, cells, list_max(list_transform(cells, lambda r: len(r))) AS width FROM t),
 p AS (SELECT doc_id, width, list_transform(cells, lambda r: '| ' || array_to_string(list_resize(r, width, ''), ' | ') || ' |') AS rows, len(list_filter(flatten(cells), lambda c: trim(c) <> '')) AS filled, len(flatten(cells)) AS n, len(cells) AS height FROM w)
-SELECT doc_id, height >= 2 AND width >= 2 AND filled / nullif(n, 0)::DOUBLE > 0.5 AS accepted, CASE WHEN width >= 2 THEN rows[1] || chr(10) || '| ' || array_to_string(list_resize(['---'], width, '---'), ' | ') || ' |' || CASE WHEN height > 1 THEN chr(10) || array_to_string(rows[2:], chr(10)) ELSE '' END END AS markdown FROM p
+SELECT doc_id, height >= 2 AND width >= 2 AND filled / nullif(n, 0)::DOUBLE > 0.5 AS accepted, CASE WHEN width >= 2 THEN md5(rows[1] || chr(10) || '|' || repeat('---|', width) || CASE WHEN height > 1 THEN chr(10) || array_to_string(rows[2:], chr(10)) ELSE '' END) END AS markdown_md5 FROM p
 """)
 def table_markdown(spark, sf_dir):
-    from folio.operators.geometry import table_accepted, table_rows
+    cells = geometry.squeezed_cells(F.transform(F.split("text", "\n"), lambda r: F.split(F.trim(F.regexp_replace(r, r"\s+", " ")), " ")))
+    tables = _docs(spark, sf_dir).select("doc_id", cells.alias("cells"))
+    return tables.select("doc_id", geometry.table_accepted(F.col("cells")).alias("accepted"), F.md5(F.array_join(geometry.table_rows(F.col("cells")), "\n")).alias("markdown_md5"))
+
 
-    rows = F.slice(F.split("text", "\n"), 1, 3)
-    cells = F.transform(rows, lambda r: F.slice(F.split(F.trim(F.regexp_replace(r, r"\s+", " ")), " "), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")))
-    return _docs(spark, sf_dir).select("doc_id", cells.alias("cells")).select("doc_id", table_accepted(F.col("cells")).alias("accepted"), F.array_join(table_rows(F.col("cells")), "\n").alias("markdown"))
+@query(f"""
+WITH w AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY CASE WHEN i % 4 = 0 THEN 1099511627776 ELSE i * 31 % 7 END, CASE WHEN i % 4 = 0 THEN 0 ELSE i * 13 % 5 END, i)) AS order_md5 FROM w GROUP BY doc_id
+""")
+def shape_order(spark, sf_dir):
+    n = lambda i: (i + 1).cast("long")
+    shapes = F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.when(n(i) % 4 != 0, n(i) * 31 % 7).alias("top"), F.when(n(i) % 4 != 0, n(i) * 13 % 5).alias("left"), t.alias("text")))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.transform(geometry.in_shape_order(shapes), lambda x: x["text"]), "\n")).alias("order_md5"))
 
 
 @query(r"""
@@ -678,30 +777,30 @@ WITH s AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Heading ' || (doc_id % 9
 SELECT doc_id, style, CASE WHEN doc_id % 7 IN (0, 2) THEN least(doc_id % 9 + 1, 6) WHEN doc_id % 7 IN (1, 3) THEN 1 WHEN doc_id % 7 = 6 THEN 2 END AS level FROM s
 """)
 def heading_levels(spark, sf_dir):
-    from folio.operators.geometry import heading_level
-
     n, m = (F.col("doc_id") % 9 + 1).cast("string"), F.col("doc_id") % 7
     style = F.when(m == 0, F.concat(F.lit("Heading "), n)).when(m == 1, "Title").when(m == 2, F.concat(F.lit("标题 "), n)).when(m == 3, "标题").when(m == 4, "Normal").when(m == 5, "heading").otherwise("HEADING 2")
-    return _docs(spark, sf_dir).select("doc_id", style.alias("style")).select("doc_id", "style", heading_level(F.col("style")).cast("long").alias("level"))
+    return _docs(spark, sf_dir).select("doc_id", style.alias("style")).select("doc_id", "style", geometry.heading_level(F.col("style")).cast("long").alias("level"))
 
 
 @query(r"""
 WITH i AS (SELECT doc_id AS page, (doc_id * k) % 500 - 50 AS x0, (doc_id * k * 7) % 700 - 50 AS y0, 40 + (doc_id * k) % 450 AS w, 30 + (doc_id + k) % 600 AS h FROM documents, generate_series(1, 3) t(k)),
 c AS (SELECT page, greatest(0, least(600, x0 + w) - greatest(0, x0)) * greatest(0, least(800, y0 + h) - greatest(0, y0)) AS area FROM i)
-SELECT page, round(least(sum(area) / 480000.0, 1.0)::DOUBLE, 6) AS ratio, least(sum(area) / 480000.0, 1.0) > 0.6 AS heavy FROM c GROUP BY page
+SELECT page, sum(area)::BIGINT AS covered, least(sum(area)::DOUBLE / 480000::DOUBLE, 1::DOUBLE) AS ratio, sum(area)::DOUBLE / 480000::DOUBLE > 0.6::DOUBLE AS heavy FROM c GROUP BY page
 """)
 def image_coverage(spark, sf_dir):
-    from folio.operators.geometry import image_coverage as coverage
+    k = lambda k: F.col("page") * k
+    box = lambda n: (k(n) % 500 - 50, k(7 * n) % 700 - 50, 40 + k(n) % 450, 30 + (F.col("page") + n) % 600)
+    images = F.array(*[_elements("image", x0=x, y0=y, x1=x + w, y1=y + h) for x, y, w, h in map(box, (1, 2, 3))])
+    side = lambda a, b, most: F.greatest(F.lit(0), F.least(F.lit(most), b) - F.greatest(F.lit(0), a))
+    covered = sum((side(x, x + w, 600) * side(y, y + h, 800) for x, y, w, h in map(box, (1, 2, 3))), F.lit(0).cast("long"))
+    pages = _docs(spark, sf_dir).select(F.col("doc_id").alias("page")).withColumn("ratio", geometry.image_coverage(images, F.lit(600.0), F.lit(800.0)))
+    return pages.select("page", covered.alias("covered"), "ratio", geometry.heavy(F.col("ratio")).alias("heavy"))
 
-    images = _docs(spark, sf_dir).select(F.col("doc_id").alias("page"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
-    x0, y0 = (F.col("page") * F.col("k")) % 500 - 50, (F.col("page") * F.col("k") * 7) % 700 - 50
-    images = images.select("page", x0.alias("x0"), y0.alias("y0"), (x0 + 40 + (F.col("page") * F.col("k")) % 450).alias("x1"), (y0 + 30 + (F.col("page") + F.col("k")) % 600).alias("y1"))
-    return coverage(images, 600, 800).select("page", F.round("ratio", 6).alias("ratio"), "heavy")
 
-
-@query(f"{RECORDS} SELECT count(*) AS files, count(*) FILTER (text_rel IS NOT NULL AND action = 'extract') AS written, 7 AS orphans, count(*) FILTER (status = 'failed') AS failed, bool_or(status = 'failed') AS any_failed FROM records")
+@query(f"""{RECORDS} SELECT count(*) AS files, count(*) FILTER (text_rel IS NOT NULL AND action = 'extract') AS written, (SELECT count(DISTINCT target) FROM prior WHERE target NOT IN (SELECT target FROM planned WHERE action <> 'skip')) AS orphans,
+  count(*) FILTER (status = 'failed') AS failed, bool_or(status = 'failed') AS any_failed FROM records""")
 def run_summary(spark, sf_dir):
-    return reports.run_summary(_records(spark, sf_dir), F.col("text_rel").isNotNull() & (F.col("action") == "extract"), 7)
+    return reports.run_summary(_records(spark, sf_dir), F.col("text_rel").isNotNull() & (F.col("action") == "extract"), orphans_plan(spark, sf_dir))
 
 
 @query(f"WITH {PRIOR_SQL} SELECT DISTINCT target FROM prior WHERE target NOT IN (SELECT target FROM planned WHERE action <> 'skip') ORDER BY target LIMIT 20")
@@ -717,31 +816,32 @@ def progress_ordinal(spark, sf_dir):
 # Containers
 
 
-def _through_files(docs: DataFrame, made: Callable[[int, str], bytes], read: Callable[[str], str]) -> DataFrame:
-    """(doc_id, found): every document written to a file of its own and read back where it is, the file then deleted."""
-    import os
-    import tempfile
-    from collections.abc import Iterator
+def _through(docs: DataFrame, made: Callable[[int, str], bytes], read: Callable[[BinaryIO], object], kind: pa.DataType, schema: str) -> DataFrame:
+    """(doc_id, found): what is read from a container that is made of every document, in memory."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [read(io.BytesIO(made(doc_id, text or ""))) for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "found"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, found {schema}")
+
 
-    import pyarrow as pa
+def _extracted(docs: DataFrame, made: Callable[[int, str], bytes], kind: Callable[[int], str]) -> DataFrame:
+    """(doc_id, document): containers of the documents through the extractors and the rules, as a build has them."""
+    from folio.sources import extract
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                with tempfile.NamedTemporaryFile(delete=False) as file:
-                    file.write(made(doc_id, text or ""))
-                try:
-                    found.append(read(file.name))
-                finally:
-                    os.unlink(file.name)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "found"])
+            found = [extract.extract_one(kind(i), io.BytesIO(made(i, text or "")), extract._EXTRACTORS) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(found, to_arrow_type(PARSED))], names=["doc_id", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found string")
+    parsed = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, found {PARSED.simpleString()}")
+    return parsed.select("doc_id", geometry.assembled(F.col("found")).alias("document"))
 
 
-def _lines_of(document: dict) -> str:
-    return "\n".join(line["text"] for page in document["pages"] for line in page["lines"])
+def _lines_of(document: Column) -> Column:
+    return F.array_join(F.flatten(F.transform(document["pages"], lambda p: F.transform(p["lines"], lambda line: line["text"]))), "\n")
 
 
 KEPT_LINES_SQL = f"SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM (SELECT doc_id, line_no, {_squeezed('line')} AS line FROM ({LINES_SQL})) WHERE line <> ''"
@@ -752,10 +852,35 @@ WITH l AS ({KEPT_LINES_SQL}), t AS (SELECT doc_id, string_agg('<!-- para:' || n
 SELECT d.doc_id, md5(coalesce(t.text, '')) AS text_md5 FROM documents d LEFT JOIN t USING (doc_id)
 """)
 def docx_extract(spark, sf_dir):
-    from folio.sources import extract, ooxml
+    from folio.sources import ooxml
 
-    found = _through_files(_docs(spark, sf_dir), lambda _, text: ooxml.docx_bytes(text.split("\n")), lambda path: _lines_of(extract.docx(path)))
-    return found.select("doc_id", F.md5("found").alias("text_md5"))
+    found = _extracted(_docs(spark, sf_dir), lambda _, text: ooxml.docx_bytes(text.split("\n")), lambda _: "docx")
+    return found.select("doc_id", F.md5(_lines_of(F.col("document"))).alias("text_md5"))
+
+
+@query(f"""
+WITH l AS ({KEPT_LINES_SQL}), f AS (SELECT doc_id, min_by(line, n) AS line FROM l GROUP BY doc_id)
+SELECT d.doc_id, md5(CASE WHEN f.line IS NULL THEN '' ELSE '<!-- para:1 -->' || chr(10) || repeat('#', (d.doc_id % 4 + 2)::INT) || ' ' || f.line || chr(10) || chr(10) END
+  || CASE WHEN d.doc_id % 3 = 0 THEN 'alone' || chr(10) || chr(10) ELSE '' END || '<!-- para:' || CASE WHEN f.line IS NULL THEN 1 ELSE 2 END || ' -->' || chr(10) || '| n | {{}} |' || chr(10) || '|---|---|' || chr(10) || '| ' || d.doc_id || ' |  |' || chr(10)) AS text_md5,
+  true AS has_tables, CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS n_warnings FROM documents d LEFT JOIN f USING (doc_id)
+""")
+def docx_tables(spark, sf_dir):
+    """A heading by style, a table of one column in every third file, and a ragged table."""
+    from folio.sources import ooxml
+
+    def made(i: int, text: str) -> bytes:
+        first = next((x for x in text.split("\n") if x.strip()), "")
+        return ooxml.docx_bytes([first], style=f"heading {i % 4 + 1}", tables=[*([[["alone"]]] if i % 3 == 0 else []), [["n", "{}"], [str(i)]]])
+
+    found = _extracted(_docs(spark, sf_dir), made, lambda _: "docx")
+    return found.select("doc_id", F.md5(_lines_of(F.col("document"))).alias("text_md5"), "document.has_tables", F.size("document.warnings").cast("long").alias("n_warnings"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'corrupt' WHEN 1 THEN 'no_extractor' WHEN 2 THEN 'corrupt' END AS reason, doc_id % 4 = 3 AS needs_ocr FROM documents")
+def extract_failures(spark, sf_dir):
+    """Broken containers and kinds without an extractor become documents with a reason; an image is a page that needs OCR."""
+    found = _extracted(_docs(spark, sf_dir), lambda i, text: b"PK\x03\x04" + text.encode(), lambda i: ("docx", "plaintext", "pptx", "image")[i % 4])
+    return found.select("doc_id", "document.reason", (F.size("document.pages_needing_ocr") > 0).alias("needs_ocr"))
 
 
 @query(f"""
@@ -763,18 +888,26 @@ WITH l AS ({KEPT_LINES_SQL}), t AS (SELECT doc_id, string_agg(line, chr(10) ORDE
 SELECT d.doc_id, md5('Document ' || d.doc_id || chr(10) || CASE WHEN t.text IS NULL THEN '' ELSE chr(10) || t.text || chr(10) END) AS text_md5 FROM documents d LEFT JOIN t USING (doc_id)
 """)
 def pptx_extract(spark, sf_dir):
-    from folio.sources import extract, ooxml
+    from folio.sources import ooxml
+
+    found = _extracted(_docs(spark, sf_dir), lambda i, text: ooxml.pptx_bytes(f"Document {i}", text.split("\n")), lambda _: "pptx")
+    return found.select("doc_id", F.md5(_lines_of(F.col("document"))).alias("text_md5"))
+
+
+@query(f"SELECT doc_id, CASE WHEN n < 30 THEN 'none' WHEN n >= 200 THEN 'rich' ELSE 'sparse' END AS layer, n < 30 AS needs_ocr FROM (SELECT doc_id, {_nonspace('text')} + length('Document') + length(doc_id::VARCHAR) AS n FROM documents)")
+def pptx_layer(spark, sf_dir):
+    from folio.sources import ooxml
 
-    found = _through_files(_docs(spark, sf_dir), lambda i, text: ooxml.pptx_bytes(f"Document {i}", text.split("\n")), lambda path: _lines_of(extract.pptx(path)))
-    return found.select("doc_id", F.md5("found").alias("text_md5"))
+    found = _extracted(_docs(spark, sf_dir), lambda i, text: ooxml.pptx_bytes(f"Document {i}", text.split("\n")), lambda _: "pptx")
+    return found.select("doc_id", F.col("document.text_layer").alias("layer"), (F.size("document.pages_needing_ocr") > 0).alias("needs_ocr"))
 
 
 @query("SELECT list_extract(['docx', 'pptx', 'unsupported', 'unknown'], (doc_id % 4 + 1)::INT) AS kind, count(*) AS n FROM documents GROUP BY 1")
 def ooxml_kind(spark, sf_dir):
     from folio.sources import files, ooxml
 
-    made = lambda i, text: (ooxml.docx_bytes([text[:20]]), ooxml.pptx_bytes("t", []), ooxml.xlsx_bytes(), b"PK\x03\x04 no archive")[i % 4]
-    return _through_files(_docs(spark, sf_dir), made, files.archive_kind).groupBy(F.col("found").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    made = lambda i, text: (ooxml.docx_bytes([text]), ooxml.pptx_bytes("t", [text]), ooxml.xlsx_bytes(), b"PK\x03\x04 no archive" + text.encode())[i % 4]
+    return _through(_docs(spark, sf_dir), made, files.archive_kind, pa.string(), "string").groupBy(F.col("found").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,11 +45,18 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 FILES = _struct(rel=_S, path=_S, bytes=_L, mtime_ns=_L)
 LINE = _struct(text=_S, y0=_D, y1=_D)
+#: What an extractor finds on a page, before any rule: a paragraph (para), table, shape (text), picture, notes, placed line or image.
+ELEMENT = _struct(
+    kind=_S, text=_S, style=_S, paras=T.ArrayType(_struct(level=_I, text=_S)), cells=T.ArrayType(T.ArrayType(_S)), x0=_D, y0=_D, x1=_D, y1=_D,
+)
+PARSED_PAGE = _struct(number=_I, width=_D, height=_D, source=_S, image_ratio=_D, lines=T.ArrayType(LINE), elements=T.ArrayType(ELEMENT))
 PAGE = _struct(number=_I, height=_D, source=_S, image_ratio=_D, lines=T.ArrayType(LINE))
 DOCUMENT = _struct(
     extractor=_S, page_label=_S, total_pages=_I, text_layer=_S, has_tables=_B, partial=_B, reason=_S, message=_S,
     pages_needing_ocr=T.ArrayType(_I), image_heavy_pages=T.ArrayType(_I), warnings=T.ArrayType(_S), pages=T.ArrayType(PAGE),
 )
+#: A parsed document: layout is flow, slides or placed, or null where the extractor gives lines and all else itself.
+PARSED = T.StructType([T.StructField("layout", _S), *(f for f in DOCUMENT if f.name != "pages"), T.StructField("pages", T.ArrayType(PARSED_PAGE))])
 BLOCK = _struct(text=_S, confidence=_D, y0=_D, y1=_D)
 OCR = _struct(backend=_S, pages=T.ArrayType(_I), chars=_L)
 RECORD = _struct(

@@ -1,23 +1,31 @@
-"""Extractors: a file's path to pages and lines. DOCX and PPTX are read with the standard library, PDF with PyMuPDF if it is there."""
+"""Extractors: a file's path to the elements of its pages. DOCX and PPTX are read with the standard library, PDF with PyMuPDF if it
+is there. Extractors only parse; what becomes of the elements is decided by columns (operators/geometry.py).
+"""
 
 from __future__ import annotations
 
-import re
+import inspect
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folio.schema import DOCUMENT, HEAVY_COVERAGE, OCR_PAGE_CHARS, RICH_PAGE_CHARS
+from folio.operators.geometry import assembled
+from folio.schema import OCR_PAGE_CHARS, PARSED
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 PML = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+#: A path, or an open file for the formats that are read with the standard library.
+Source = str | BinaryIO
+
 
 class ExtractError(Exception):
     """A file that can't be extracted, with a reason code."""
@@ -27,86 +35,40 @@ class ExtractError(Exception):
         self.reason = reason
 
 
-def _squeezed(text: str) -> str:
-    return " ".join(text.split())
-
-
-def _nonspace(text: str) -> int:
-    return len("".join(text.split()))
-
-
-def _line(text: str, y0: float | None = None, y1: float | None = None) -> dict:
-    return {"text": text, "y0": y0, "y1": y1}
-
-
-def _page(number: int, lines: list[dict], height: float | None = None, ratio: float = 0.0) -> dict:
-    return {"number": number, "height": height, "source": "text", "image_ratio": ratio, "lines": lines}
+def _page(number: int, elements: list[dict], width: float | None = None, height: float | None = None, **more: object) -> dict:
+    return {"number": number, "width": width, "height": height, "source": "text", "image_ratio": 0.0, "lines": [], "elements": elements} | more
 
 
 def _document(extractor: str, pages: list[dict], **more: object) -> dict:
-    base = {"extractor": extractor, "page_label": "Page", "total_pages": len(pages), "text_layer": "n/a", "has_tables": False, "partial": False, "reason": None, "message": None, "pages_needing_ocr": [], "image_heavy_pages": [], "warnings": [], "pages": pages}
+    base = {"extractor": extractor, "layout": None, "page_label": "Page", "total_pages": len(pages), "text_layer": "n/a", "has_tables": False, "partial": False, "reason": None, "message": None, "pages_needing_ocr": [], "image_heavy_pages": [], "warnings": [], "pages": pages}
     return base | more
 
 
-def layer_of(counts: list[int], least: int = OCR_PAGE_CHARS) -> str:
-    empty = sum(n < least for n in counts)
-    if empty == len(counts):
-        return "none"
-    return "mixed" if empty else "rich" if min(counts) >= RICH_PAGE_CHARS else "sparse"
-
-
-def markdown_rows(cells: list[list[str]]) -> list[str]:
-    """A table's rows, nothing under two columns."""
-    width = max(map(len, cells), default=0)
-    if width < 2:
-        return []
-    rows = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in cells]
-    return [rows[0], "| " + " | ".join(["---"] * width) + " |", *rows[1:]]
+def _box(kind: str, box: tuple[float, float, float, float], **more: object) -> dict:
+    return {"kind": kind, **dict(zip(("x0", "y0", "x1", "y1"), box, strict=True)), **more}
 
 
 def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
     return ElementTree.fromstring(archive.read(name))
 
 
-def heading(style: str) -> int | None:
-    """The level that a paragraph style's name says."""
-    name = style.strip().lower()
-    found = re.fullmatch(r"(?:heading |标题\s*)(\d+)", name)
-    if found:
-        return min(int(found[1]), 6)
-    return 1 if name == "title" or name.startswith("标题") else None
-
-
-def docx(path: str) -> dict:
-    """One page without a label: numbered anchors before kept paragraphs and tables, headings by style."""
-    with zipfile.ZipFile(path) as archive:
+def docx(source: Source) -> dict:
+    """One page without a label: paragraphs with the names of their styles, and tables."""
+    with zipfile.ZipFile(source) as archive:
         body = _xml(archive, "word/document.xml").find(f"{W}body")
         styles = {}
         if "word/styles.xml" in archive.namelist():
             styles = {s.get(f"{W}styleId"): n.get(f"{W}val", "") for s in _xml(archive, "word/styles.xml").iter(f"{W}style") if (n := s.find(f"{W}name")) is not None}
-    lines: list[str] = []
-    n, tables = 0, False
+    said = lambda e: "".join(t.text or "" if t.tag == f"{W}t" else " " for t in e.iter() if t.tag in (f"{W}t", f"{W}tab", f"{W}br"))
+    elements = []
     for block in body if body is not None else ():
         if block.tag == f"{W}p":
-            text = _squeezed("".join(t.text or "" if t.tag == f"{W}t" else " " for t in block.iter() if t.tag in (f"{W}t", f"{W}tab", f"{W}br")))
-            if not text:
-                continue
             style = block.find(f"{W}pPr/{W}pStyle")
             style_id = style.get(f"{W}val", "") if style is not None else ""
-            level = heading(styles.get(style_id, style_id))
-            shown = ["#" * (level + 1) + " " + text if level else text]
+            elements.append({"kind": "para", "text": said(block), "style": styles.get(style_id, style_id)})
         elif block.tag == f"{W}tbl":
-            cells = [[_squeezed("".join(t.text or "" for t in c.iter(f"{W}t"))) for c in row.findall(f"{W}tc")] for row in block.findall(f"{W}tr")]
-            shown = markdown_rows(cells)
-            tables |= bool(shown)
-            shown = shown or [" ".join(c) for c in cells if any(c)]  # a table of one column stays as text
-            if not shown:
-                continue
-        else:
-            continue
-        n += 1
-        lines += [f"<!-- para:{n} -->", *shown, ""]
-    return _document("docx", [_page(1, [_line(x) for x in lines])], page_label="", total_pages=0, has_tables=tables)
+            elements.append({"kind": "table", "cells": [["".join(t.text or "" for t in c.iter(f"{W}t")) for c in row.findall(f"{W}tc")] for row in block.findall(f"{W}tr")]})
+    return _document("docx", [_page(1, elements)], layout="flow", page_label="", total_pages=0)
 
 
 def _slides(archive: zipfile.ZipFile) -> Iterator[tuple[str, str | None]]:
@@ -121,55 +83,63 @@ def _slides(archive: zipfile.ZipFile) -> Iterator[tuple[str, str | None]]:
         yield part, "ppt/notesSlides/" + note.rsplit("/", 1)[-1] if note else None
 
 
-def _paragraphs(shape: ElementTree.Element) -> Iterator[tuple[int, str]]:
+def _paras(shape: ElementTree.Element) -> list[dict]:
+    out = []
     for p in shape.iter(f"{A}p"):
-        text = _squeezed("".join(t.text or "" if t.tag == f"{A}t" else " " for t in p.iter() if t.tag in (f"{A}t", f"{A}br")))
-        if text:
-            level = p.find(f"{A}pPr")
-            yield int(level.get("lvl", 0)) if level is not None else 0, text
+        level = p.find(f"{A}pPr")
+        out.append({"level": int(level.get("lvl", 0)) if level is not None else 0, "text": "".join(t.text or "" if t.tag == f"{A}t" else " " for t in p.iter() if t.tag in (f"{A}t", f"{A}br"))})
+    return out
 
 
-def pptx(path: str) -> dict:
-    """A page per slide: shapes from the top left, tables, indented paragraphs, then speaker notes."""
-    pages, needing, heavy, tables = [], [], [], False
-    with zipfile.ZipFile(path) as archive:
-        for number, (part, note) in enumerate(_slides(archive), 1):
-            tree = _xml(archive, part).find(f"{PML}cSld/{PML}spTree")
-            far = 1 << 40
+def _offset(shape: ElementTree.Element) -> dict:
+    off = next(shape.iter(f"{A}off"), None)
+    return {"x0": float(off.get("x", 0)), "y0": float(off.get("y", 0))} if off is not None else {}
 
-            def place(shape: ElementTree.Element, far: int = far) -> tuple[int, int]:
-                off = next(shape.iter(f"{A}off"), None)
-                return (int(off.get("y", far)), int(off.get("x", far))) if off is not None else (far, far)
 
-            lines, pictures = [], 0
-            for shape in sorted(tree if tree is not None else (), key=place):
-                pictures += shape.tag == f"{PML}pic"
+def pptx(source: Source) -> dict:
+    """A page per slide: its shapes with their places, and the notes."""
+    pages = []
+    with zipfile.ZipFile(source) as archive:
+        for number, (part, note) in enumerate(_slides(archive), 1):
+            elements = []
+            tree = _xml(archive, part).find(f"{PML}cSld/{PML}spTree")
+            for shape in tree if tree is not None else ():
                 table = next(shape.iter(f"{A}tbl"), None)
                 if table is not None:
-                    rows = markdown_rows([[_squeezed(" ".join(t for _, t in _paragraphs(c))) for c in row.findall(f"{A}tc")] for row in table.findall(f"{A}tr")])
-                    tables |= bool(rows)
-                    lines += [*rows, ""] if rows else []
+                    cells = [[" ".join(p["text"] for p in _paras(c)) for c in row.findall(f"{A}tc")] for row in table.findall(f"{A}tr")]
+                    elements.append({"kind": "table", "cells": cells, **_offset(shape)})
+                elif shape.tag == f"{PML}pic":
+                    elements.append({"kind": "picture", **_offset(shape)})
                 else:
-                    found = ["  " * level + text for level, text in _paragraphs(shape)]
-                    lines += [*found, ""] if found else []
+                    elements.append({"kind": "text", "paras": _paras(shape), **_offset(shape)})
             if note and note in archive.namelist():
-                said = [t for s in _xml(archive, note).iter(f"{PML}sp") if (ph := s.find(f"{PML}nvSpPr/{PML}nvPr/{PML}ph")) is not None and ph.get("type") == "body" for _, t in _paragraphs(s)]
-                lines += ["**Notes**", *said, ""] if said else []
-            if sum(map(_nonspace, lines)) < OCR_PAGE_CHARS:
-                needing.append(number)
-                heavy += [number] if pictures else []
-            pages.append(_page(number, [_line(x) for x in lines]))
-    counts = [sum(_nonspace(x["text"]) for x in p["lines"]) for p in pages]
-    return _document("pptx", pages, page_label="Slide", text_layer=layer_of(counts), has_tables=tables, pages_needing_ocr=needing, image_heavy_pages=heavy)
-
-
-def image(path: str) -> dict:
+                elements += [{"kind": "notes", "paras": _paras(s)} for s in _xml(archive, note).iter(f"{PML}sp") if (ph := s.find(f"{PML}nvSpPr/{PML}nvPr/{PML}ph")) is not None and ph.get("type") == "body"]
+            pages.append(_page(number, elements))
+    return _document("pptx", pages, layout="slides", page_label="Slide")
+
+
+def pictures(source: Source, number: int) -> list[bytes]:
+    """The bytes of a slide's pictures, from the top left."""
+    far = 1 << 40
+    with zipfile.ZipFile(source) as archive:
+        part = [p for p, _ in _slides(archive)][number - 1]
+        links = f"ppt/slides/_rels/{part.rsplit('/', 1)[-1]}.rels"
+        rels = {r.get("Id"): r.get("Target", "") for r in _xml(archive, links)} if links in archive.namelist() else {}
+        found = []
+        for i, pic in enumerate(_xml(archive, part).iter(f"{PML}pic")):
+            place, blip = _offset(pic), next(pic.iter(f"{A}blip"), None)
+            if blip is not None:
+                found.append((place.get("y0", far), place.get("x0", 0), i, "ppt/media/" + rels[blip.get(f"{R}embed")].rsplit("/", 1)[-1]))
+        return [archive.read(name) for *_, name in sorted(found)]
+
+
+def image(source: Source) -> dict:
     """One empty page that is all image."""
-    return _document("image", [_page(1, [], 1.0, 1.0)], text_layer="none", pages_needing_ocr=[1], image_heavy_pages=[1])
+    return _document("image", [_page(1, [], None, 1.0, image_ratio=1.0)], text_layer="none", pages_needing_ocr=[1], image_heavy_pages=[1])
 
 
 def pdf(path: str) -> dict:
-    """Pages with placed lines and tables; a page that can't be read is empty and the document partial."""
+    """Pages with placed lines, tables and images; a page that can't be read is empty and the document partial."""
     try:
         import pymupdf
     except ImportError as error:
@@ -180,51 +150,40 @@ def pdf(path: str) -> dict:
         raise ExtractError("corrupt", str(error)) from error
     with file:
         if file.needs_pass:
-            raise ExtractError("encrypted")
-        pages, warnings, tables = [], [], False
-        for number, page in enumerate(file, 1):
+            raise ExtractError("encrypted", "the PDF needs a password")
+        pages, warnings = [], []
+        for number in range(1, file.page_count + 1):
             try:
-                area, regions = page.rect, []
-                for table in page.find_tables().tables:
-                    cells = [[_squeezed(c or "") for c in row] for row in table.extract()]
-                    filled = [c for row in cells for c in row]
-                    if len(cells) >= 2 and max(map(len, cells)) >= 2 and sum(map(bool, filled)) / len(filled) > 0.5:
-                        regions.append((pymupdf.Rect(table.bbox), markdown_rows(cells)))
-                spans = []
-                for line in (x for b in page.get_text("dict")["blocks"] for x in b.get("lines", ())):
-                    text, (x0, y0, x1, y1) = "".join(s["text"] for s in line["spans"]), line["bbox"]
-                    if text.strip() and not any(pymupdf.Point((x0 + x1) / 2, (y0 + y1) / 2) in r for r, _ in regions):
-                        spans.append((round(y0, 1), x0, len(spans), _line(text, y0, y1)))
-                for rect, rows in regions:
-                    tables = True
-                    spans += [(round(rect.y0, 1), rect.x0 + 1 + 1e-6 * i, len(spans) + i, _line(row, rect.y0, rect.y1)) for i, row in enumerate(rows)]
-                covered = sum(abs(pymupdf.Rect(i["bbox"]) & area) for i in page.get_image_info())
-                pages.append(_page(number, [x for *_, x in sorted(spans, key=lambda s: s[:3])], area.height, min(1.0, covered / abs(area)) if abs(area) else 0.0))
+                page = file.load_page(number - 1)
+                elements = [_box("table", tuple(t.bbox), cells=t.extract()) for t in page.find_tables().tables]
+                elements += [_box("line", tuple(x["bbox"]), text="".join(s["text"] for s in x["spans"])) for b in page.get_text("dict")["blocks"] for x in b.get("lines", ())]
+                elements += [_box("image", tuple(i["bbox"])) for i in page.get_image_info()]
+                pages.append(_page(number, elements, page.rect.width, page.rect.height))
             except Exception as error:
                 pages.append(_page(number, []))
                 warnings.append(f"page {number}: {error}")
-    counts = [sum(_nonspace(x["text"]) for x in p["lines"]) for p in pages]
-    return _document(
-        "pdf", pages, text_layer=layer_of(counts), has_tables=tables, partial=bool(warnings), warnings=warnings,
-        pages_needing_ocr=[p["number"] for p, n in zip(pages, counts, strict=True) if n < OCR_PAGE_CHARS], image_heavy_pages=[p["number"] for p in pages if p["image_ratio"] > HEAVY_COVERAGE],
-    )
+        if warnings:
+            warnings.append(f"{len(warnings)} damaged pages were left out")
+    return _document("pdf", pages, layout="placed", partial=bool(warnings), warnings=warnings)
 
 
-_EXTRACTORS: dict[str, Callable[[str], dict]] = {"docx": docx, "pptx": pptx, "image": image, "pdf": pdf}
+_EXTRACTORS: dict[str, Callable[..., dict]] = {"docx": docx, "pptx": pptx, "image": image, "pdf": pdf}
 
 
-def register_extractor(kind: str, f: Callable[[str], dict]) -> None:
+def register_extractor(kind: str, f: Callable[..., dict]) -> None:
+    """f(path) or f(path, config) gives a dictionary like schema.PARSED."""
     _EXTRACTORS[kind] = f
 
 
-def extract_one(kind: str, path: str, extractors: dict[str, Callable[[str], dict]]) -> dict:
+def extract_one(kind: str, path: Source, extractors: dict[str, Callable[..., dict]], config: object = None) -> dict:
     """Never raises: a failure is a document with a reason."""
     failed = lambda reason, message: _document(kind, [], reason=reason, message=message)
     f = extractors.get(kind)
     if f is None:
         return failed("no_extractor", kind)
     try:
-        return f(path)
+        found = f(path, config) if len(inspect.signature(f).parameters) > 1 else f(path)
+        return _document(kind, []) | found
     except ExtractError as error:
         return failed(error.reason, str(error))
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError) as error:
@@ -233,15 +192,16 @@ def extract_one(kind: str, path: str, extractors: dict[str, Callable[[str], dict
         return failed("extractor_error", f"{type(error).__name__}: {error}")
 
 
-def extracted(files: DataFrame) -> DataFrame:
+def extracted(files: DataFrame, config: object = None, least: int = OCR_PAGE_CHARS) -> DataFrame:
     """(rel, document) of files (rel, kind, path)."""
     extractors = dict(_EXTRACTORS)
-    kind = to_arrow_type(DOCUMENT)
+    kind = to_arrow_type(PARSED)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i in range(batch.num_rows):  # one file at a time, so that batches stay small
                 rel, own, path = (batch.column(c)[i].as_py() for c in ("rel", "kind", "path"))
-                yield pa.record_batch([pa.array([rel]), pa.array([extract_one(own, path, extractors)], kind)], names=["rel", "document"])
+                yield pa.record_batch([pa.array([rel]), pa.array([extract_one(own, path, extractors, config)], kind)], names=["rel", "parsed"])
 
-    return files.select("rel", "kind", "path").mapInArrow(run, f"rel string, document {DOCUMENT.simpleString()}")
+    parsed = files.select("rel", "kind", "path").mapInArrow(run, f"rel string, parsed {PARSED.simpleString()}")
+    return parsed.select("rel", assembled(F.col("parsed"), least).alias("document"))

@@ -19,9 +19,16 @@ def _archive(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
-def docx_bytes(paragraphs: list[str]) -> bytes:
-    body = "".join(f"<w:p><w:r><w:t>{escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
-    return _archive({"word/document.xml": f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>'})
+def docx_bytes(paragraphs: list[str], style: str = "", tables: list[list[list[str]]] | None = None) -> bytes:
+    """Paragraphs, the first with a style of the given name, then tables."""
+    named = '<w:pPr><w:pStyle w:val="S"/></w:pPr>' if style else ""
+    para = lambda text, look="": f"<w:p>{look}<w:r><w:t>{escape(text)}</w:t></w:r></w:p>"
+    table = lambda rows: "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in row) + "</w:tr>" for row in rows) + "</w:tbl>"
+    body = "".join(para(p, named if i == 0 else "") for i, p in enumerate(paragraphs)) + "".join(map(table, tables or []))
+    parts = {"word/document.xml": f'<w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>'}
+    if style:
+        parts["word/styles.xml"] = f'<w:styles xmlns:w="{W[1:-1]}"><w:style w:styleId="S"><w:name w:val="{escape(style)}"/></w:style></w:styles>'
+    return _archive(parts)
 
 
 def pptx_bytes(title: str, paragraphs: list[str]) -> bytes:

@@ -1,7 +1,8 @@
 """A data source that lists a folder tree: (rel, path, bytes, mtime_ns).
 
 Spark's own listing hides names that begin with an underscore and rounds times to microseconds. Excluded folders are cut off
-before they are entered. Each folder right below the root is a partition, files in the root are one more.
+before they are entered. Folders are opened from the root down until there are enough of them for as many tasks; a folder with
+very many files is listed in several parts.
 """
 
 from __future__ import annotations
@@ -18,10 +19,16 @@ from folio.schema import FILES, IGNORED_DIRS
 from folio.sources.ignore import FILE_NAME, IgnoreRules
 
 
-class _Top(InputPartition):
-    def __init__(self, name: str):
-        super().__init__(name)
-        self.name = name
+#: Folders that are opened to deal out the rest, and files of one folder that a task lists at most.
+LEAST_TASKS, PART_FILES = 256, 10_000
+
+
+class _Part(InputPartition):
+    """A folder with all below it (deep), or a part of its own files."""
+
+    def __init__(self, rel: str, deep: bool, start: int = 0):
+        super().__init__((rel, deep, start))
+        self.rel, self.deep, self.start = rel, deep, start
 
 
 class _Reader(DataSourceReader):
@@ -35,7 +42,24 @@ class _Reader(DataSourceReader):
         self.rules = IgnoreRules([] if everything else lines)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Top(""), *(_Top(name) for name in self._entries("")[0])]
+        out: list[InputPartition] = []
+        level, seen = [""], 0
+        while level and seen + len(level) < LEAST_TASKS:
+            below = []
+            for rel in level:
+                if self._loops(rel):
+                    continue
+                dirs, files = self._entries(rel)
+                out += [_Part(rel, False, start) for start in range(0, len(files), PART_FILES)]
+                below += [f"{rel}/{d}" if rel else d for d in dirs]
+            seen, level = seen + len(level), below
+        return out + [_Part(rel, True) for rel in level]
+
+    def _loops(self, rel: str) -> bool:
+        """The folder is, by links, one of those above it."""
+        parts = rel.split("/") if rel else []
+        above = {os.path.realpath(os.path.join(self.root, *parts[:n])) for n in range(len(parts))}
+        return os.path.realpath(os.path.join(self.root, rel)) in above
 
     def _entries(self, rel: str) -> tuple[list[str], list[str]]:
         """Sorted folders and files of one folder that aren't excluded."""
@@ -56,24 +80,25 @@ class _Reader(DataSourceReader):
                 files.append(e.name)
         return dirs, files
 
-    def _walk(self, rel: str, seen: frozenset) -> Iterator[str]:
-        real = os.path.realpath(os.path.join(self.root, rel))
-        if real in seen:  # a link to a folder on the way
+    def _walk(self, rel: str) -> Iterator[str]:
+        if self._loops(rel):
             return
         dirs, files = self._entries(rel)
         yield from (f"{rel}/{f}" if rel else f for f in files)
         for d in dirs:
-            yield from self._walk(f"{rel}/{d}" if rel else d, seen | {real})
+            yield from self._walk(f"{rel}/{d}" if rel else d)
 
-    def read(self, partition: _Top) -> Iterator[tuple]:
-        for rel in self._walk(partition.name, frozenset()) if partition.name else self._entries("")[1]:
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        own = partition.rel
+        found = self._walk(own) if partition.deep else (f"{own}/{f}" if own else f for f in self._entries(own)[1][partition.start : partition.start + PART_FILES])
+        for rel in found:
             path = os.path.join(self.root, rel)
             try:
-                found = os.stat(path)
+                found_stat = os.stat(path)
             except OSError:
                 continue
-            if stat.S_ISREG(found.st_mode):
-                yield rel, path, found.st_size, found.st_mtime_ns
+            if stat.S_ISREG(found_stat.st_mode):
+                yield rel, path, found_stat.st_size, found_stat.st_mtime_ns
 
 
 class WalkSource(DataSource):
