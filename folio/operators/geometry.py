@@ -123,7 +123,7 @@ def image_coverage(elements: Column, width: Column, height: Column) -> Column:
     side = lambda a, b, most: F.greatest(F.lit(0.0), F.least(most, b) - F.greatest(F.lit(0.0), a))
     images = F.filter(elements, lambda e: e["kind"] == "image")
     covered = F.aggregate(images, F.lit(0.0), lambda a, e: a + side(e["x0"], e["x1"], width) * side(e["y0"], e["y1"], height))
-    return F.coalesce(F.least(covered / F.nullif(width * height, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return F.when(width * height > 0, F.least(covered / (width * height), F.lit(1.0))).otherwise(0.0)
 
 
 def text_layer(counts: Column, least: Column | int = OCR_PAGE_CHARS) -> Column:
@@ -172,7 +172,8 @@ def assembled(document: Column, least: int = OCR_PAGE_CHARS) -> Column:
         paged = layout.isin("slides", "placed")
         numbers = lambda test: F.transform(F.filter(pages, test), lambda p: p["number"])
         none = F.array().cast("array<int>")
-        needing = F.when(paged, numbers(lambda p: p["chars"] < least)).otherwise(none)
+        # A page that can't be read has no height: there is nothing to recognise either.
+        needing = F.when(paged, numbers(lambda p: (p["chars"] < least) & ((layout == "slides") | p["height"].isNotNull()))).otherwise(none)
         image_heavy = F.when(layout == "placed", numbers(lambda p: heavy(p["image_ratio"]))).when(layout == "slides", numbers(lambda p: (p["chars"] < least) & p["pictures"])).otherwise(none)
         notes = F.filter(F.transform(pages, lambda p: p["note"]), lambda t: t.isNotNull())
         fields = {

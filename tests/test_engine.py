@@ -68,6 +68,178 @@ def test_mirror_build_is_idempotent_and_prunes(spark, root):
     assert not (root.parent / "docs.folio/text/report.docx.md").exists()
 
 
+def test_plans_hash_only_what_is_in_doubt(spark, root):
+    config = Config(str(root), ocr="never")
+    hashed = lambda: {r["rel"] for r in Engine(spark).plan(config).items.where("content_hash IS NOT NULL").collect()}
+    assert hashed() == set()
+    records = {r["rel"]: r for r in Engine(spark).build(config).records.collect()}
+    assert {r for r, x in records.items() if x["content_hash"] is None} == {r for r, x in records.items() if x["status"] == "skipped"}
+    assert hashed() == set()
+    os.utime(root / "notes.txt", ns=(5, 5))
+    assert hashed() == {"notes.txt"}
+    (root / "notes.txt").write_text("other line\n")  # of another length
+    assert hashed() == set()
+
+
+def test_state_survives(spark, root):
+    """The state before counts while states are swapped; without either, MANIFEST.json does."""
+    from folio.sources import sinks
+
+    config = Config(str(root), ocr="never")
+    first = Engine(spark).build(config)
+    want, artifacts = sorted(map(str, first.records.collect())), sorted(r["target"] for r in sinks.load_state(spark, config.meta_dir)[1].collect())
+    os.rename(f"{config.meta_dir}/state", f"{config.meta_dir}/state.old")
+    assert sorted(map(str, sinks.load_state(spark, config.meta_dir)[0].collect())) == want
+    os.rename(f"{config.meta_dir}/state.old", f"{config.meta_dir}/elsewhere")
+    records, known, found = sinks.load_state(spark, config.meta_dir)
+    assert found and sorted(map(str, records.collect())) == want and sorted(r["target"] for r in known.collect()) == artifacts
+    assert Engine(spark).build(config).written == 0
+    with open(f"{config.meta_dir}/MANIFEST.json", "w") as file:
+        file.write("[]")
+    os.rename(f"{config.meta_dir}/state", f"{config.meta_dir}/elsewhere2")
+    assert not sinks.load_state(spark, config.meta_dir)[2]
+
+
+def test_walk_deals_out_any_tree(spark, tmp_path, monkeypatch):
+    from folio.sources import walk as module
+
+    deep = tmp_path / "a/b/c/d/e"
+    deep.mkdir(parents=True)
+    for i in range(25):
+        (tmp_path / f"f{i:02}.txt").write_text("x")
+        (deep / f"g{i:02}.txt").write_text("x")
+    os.symlink(tmp_path, tmp_path / "a/loop")
+    monkeypatch.setattr(module, "PART_FILES", 10)
+    reader = module._Reader(str(tmp_path), True, [], False)
+    parts = reader.partitions()
+    rels = [r[0] for p in parts for r in reader.read(p)]
+    assert len(parts) >= 6 and len(rels) == len(set(rels)) == 50
+    monkeypatch.setattr(module, "LEAST_TASKS", 2)
+    assert sorted(r[0] for p in reader.partitions() for r in reader.read(p)) == sorted(rels)
+
+
+PDF_STAND_IN = '''
+"""Reads pages from JSON: what the real library gives, without it."""
+import json
+class Rect:
+    def __init__(self, w, h): self.width, self.height = w, h
+class Table:
+    def __init__(self, t): self.bbox, self._cells = t["bbox"], t["cells"]
+    def extract(self): return self._cells
+class Page:
+    def __init__(self, p): self.p, self.rect = p, Rect(*p["size"])
+    def find_tables(self): return type("Found", (), {"tables": [Table(t) for t in self.p.get("tables", [])]})
+    def get_text(self, kind): return {"blocks": [{"lines": [{"bbox": l[1:], "spans": [{"text": l[0]}]} for l in self.p["lines"]]}]}
+    def get_image_info(self): return [{"bbox": b} for b in self.p.get("images", [])]
+    def get_pixmap(self, matrix, alpha):
+        if self.p.get("no_pixmap"): raise ValueError("no pixmap")
+        return type("Pixmap", (), {"tobytes": lambda s, kind: b"png"})()
+def Matrix(a, b): return a
+class File:
+    def __init__(self, pages): self.pages, self.page_count, self.needs_pass = pages, len(pages), pages == [None]
+    def __enter__(self): return self
+    def __exit__(self, *a): pass
+    def load_page(self, i):
+        if self.pages[i] == "broken": raise ValueError("bad page")
+        return Page(self.pages[i])
+def open(path):
+    with __builtins__["open"](path, "rb") as f: return File(json.loads(f.read()[8:]))
+'''
+
+
+def test_pdf(spark, tmp_path, monkeypatch):
+    """PDF through a stand-in for the library: order, tables, coverage, damage, passwords, OCR and its failures."""
+    root, lib = tmp_path / "docs", tmp_path / "lib"
+    root.mkdir()
+    lib.mkdir()
+    (lib / "pymupdf.py").write_text(PDF_STAND_IN)
+    body = lambda fruit: [[f"line {i} of a page with a fair number of {fruit}s", 10, 100 + 12 * i, 500, 110 + 12 * i] for i in range(8)]
+    pages = [{"size": [600, 800], "lines": [*body(fruit)[::-1], ["inside", 20, 420, 60, 430], [f"Page {n}", 10, 790, 60, 798]]} for n, fruit in enumerate(("apple", "pear", "plum"), 1)]
+    pages[0]["tables"] = [{"bbox": [10, 400, 500, 460], "cells": [["k", "v"], ["1", None], ["2", "3"]]}]
+    pages += ["broken", {"size": [600, 800], "lines": [], "images": [[0, 0, 600, 700]]}, {"size": [600, 800], "lines": [], "no_pixmap": True}]
+    write = lambda name, x: (root / name).write_bytes(b"%PDF-1.7" + json.dumps(x).encode())
+    write("good.pdf", pages)
+    write("locked.pdf", [None])
+    (root / "bad.pdf").write_bytes(b"%PDF-1.7 junk")
+    path = str(lib)
+
+    def with_library(files):  # in the workers
+        import sys
+
+        sys.path.insert(0, path)
+        return extract.pdf(files)
+
+    from folio import engine as engine_module
+    from folio.sources import extract
+
+    images_of = engine_module.images_of
+
+    def with_images(*args):
+        import sys
+
+        sys.path.insert(0, path)
+        return images_of(*args)
+
+    monkeypatch.setattr(engine_module, "images_of", with_images)
+    monkeypatch.setitem(extract._EXTRACTORS, "pdf", with_library)
+    ocr.register_backend(Mock())
+    try:
+        config = Config(str(root), ocr_page_threshold=40)
+        rows = {r["rel"]: r for r in Engine(spark).build(config).records.collect()}
+    finally:
+        ocr._BACKENDS.clear()
+    assert (rows["locked.pdf"]["status"], rows["locked.pdf"]["skip_reason"]) == ("failed", "encrypted") and rows["bad.pdf"]["skip_reason"] == "corrupt"
+    good = rows["good.pdf"]
+    assert good["partial"] and good["has_tables"] and good["text_layer"] == "mixed" and good["removed_running_heads"] == ["Page %d"] and good["pages"] == 6
+    assert good["ocr"]["pages"] == [5] and "page 4: bad page" in good["warnings"] and "image-heavy pages: 5" in good["warnings"]
+    assert any(w.startswith("page 6: ocr_rasterize_failed") for w in good["warnings"])
+    text = (tmp_path / "docs.folio/text/good.pdf.md").read_text()
+    assert text.index("line 0") < text.index("line 7") < text.index("| k | v |\n|---|---|\n| 1 |  |\n| 2 | 3 |") < text.index("inside") and text.count("inside") == 2 and "Page 1\n" not in text.replace("## Page 1\n", "")
+
+
+def test_all_pictures_of_a_slide(spark, tmp_path):
+    import zipfile
+
+    from folio.engine import images_of
+
+    A, P, R = corpus.A, corpus.P, corpus.R
+    pic = lambda i, y: f'<p:pic><p:blipFill><a:blip r:embed="i{i}"/></p:blipFill><p:spPr><a:xfrm><a:off x="0" y="{y}"/></a:xfrm></p:spPr></p:pic>'
+    slide = f'<p:sld xmlns:p="{P}" xmlns:a="{A}" xmlns:r="{R}"><p:cSld><p:spTree>{pic(1, 90)}{pic(2, 5)}</p:spTree></p:cSld></p:sld>'
+    with zipfile.ZipFile(tmp_path / "x.pptx", "w") as archive:
+        archive.writestr("ppt/presentation.xml", f'<p:presentation xmlns:p="{P}" xmlns:r="{R}"><p:sldIdLst><p:sldId id="1" r:id="r1"/><p:sldId id="2" r:id="r2"/></p:sldIdLst></p:presentation>')
+        archive.writestr("ppt/_rels/presentation.xml.rels", f'<Relationships xmlns="{corpus.RELS}"><Relationship Id="r1" Type="{R}/slide" Target="slides/slide1.xml"/><Relationship Id="r2" Type="{R}/slide" Target="slides/slide2.xml"/></Relationships>')
+        archive.writestr("ppt/slides/slide1.xml", slide)
+        archive.writestr("ppt/slides/slide2.xml", slide.replace("p:pic>", "p:sp>"))
+        archive.writestr("ppt/slides/_rels/slide1.xml.rels", f'<Relationships xmlns="{corpus.RELS}">' + "".join(f'<Relationship Id="i{i}" Type="x/image" Target="../media/{i}.png"/>' for i in (1, 2)) + "</Relationships>")
+        for i in (1, 2):
+            archive.writestr(f"ppt/media/{i}.png", f"picture {i}")
+    assert images_of(str(tmp_path / "x.pptx"), "pptx", 1, 200) == ([b"picture 2", b"picture 1"], None)
+    assert images_of(str(tmp_path / "x.pptx"), "pptx", 2, 200)[1].startswith("pptx_render_unavailable")
+    assert images_of(str(tmp_path / "x.pptx"), "pptx", 3, 200)[1].startswith("pptx_image_read_failed")
+
+
+def test_extractors_get_the_settings_and_rules_are_replaceable(spark, root):
+    from folio.operators import lines as L
+    from folio.sources import extract
+
+    def own(path, config):
+        line = {"text": f"read under {config.ocr}", "y0": None, "y1": None}
+        return {"extractor": "own", "pages": [{"number": 1, "width": None, "height": None, "source": "text", "image_ratio": 0.0, "lines": [line], "elements": []}]}
+
+    def shout(lines, keys):
+        from pyspark.sql import functions as F
+
+        return L.unwrapped(lines, keys).withColumn("text", F.upper("text"))
+
+    before = extract._EXTRACTORS["docx"]
+    extract.register_extractor("docx", own)
+    try:
+        Engine(spark, shout).build(Config(str(root), ocr="never"))
+    finally:
+        extract.register_extractor("docx", before)
+    assert "READ UNDER NEVER" in (root.parent / "docs.folio/text/report.docx.md").read_text()
+
+
 def test_in_place_never_overwrites(spark, root):
     (root / "report.docx.md").write_text("my own notes\n")
     config = Config(str(root), mode="in-place", ocr="never")

@@ -59,8 +59,9 @@ def test_text_functions(spark):
 def test_quality_tiers(spark):
     texts = {"tiny": "x", "low": "a short page of words here ok " * 4, "ok": "a page with a good number of words on it for all " * 12, "garbled": "words here " * 40 + "�" * 20, "split": "a b c d e f g h i j " * 20, "private": "word " * 60 + "" * 60}
     got = quality.assess(spark.createDataFrame([(k, 1, v) for k, v in texts.items()], "doc string, page_no int, text string"), spark.createDataFrame([(k,) for k in [*texts, "none"]], "doc string"))
-    rows = {r["doc"]: (r["status"], r["reasons"]) for r in got.collect()}
-    assert rows == {"tiny": ("empty", ["tiny"]), "none": ("empty", ["tiny"]), "low": ("low", ["median", "chars"]), "ok": ("ok", []), "garbled": ("garbled", ["replacement"]), "split": ("garbled", ["split"]), "private": ("garbled", ["private"])}
+    rows = {r["doc"]: (r["status"], [x.split(" ")[0] for x in r["reasons"]]) for r in got.collect()}
+    assert rows == {"tiny": ("empty", ["characters"]), "none": ("empty", ["characters"]), "low": ("low", ["median", "characters"]), "ok": ("ok", []), "garbled": ("garbled", ["replacement"]), "split": ("garbled", ["mean"]), "private": ("garbled", ["private-use"])}
+    assert {r["doc"]: r["reasons"] for r in got.collect()}["garbled"] == ["replacement characters 4.3% (over 1%)"]
 
 
 def test_running_heads(spark):
@@ -92,3 +93,38 @@ def test_stream_takes_new_files_once(spark):
     run()
     run()
     assert {r["doc_id"]: r["status"] for r in latest(spark, f"{base}/state").collect()} == {1: "ok", 2: "ok"}
+
+
+def test_image_sizes(tmp_path):
+    import struct
+
+    from folio.sources.images import pixels_of
+
+    segment = lambda code, body: bytes((0xFF, code)) + struct.pack(">H", len(body) + 2) + body
+    entry = lambda tag, kind, value: struct.pack("<HHI", tag, kind, 1) + struct.pack("<I" if kind == 4 else "<HH", *([value] if kind == 4 else [value, 0]))
+    files = {
+        "jpeg": (b"\xff\xd8" + segment(0xE0, b"x" * 500) + b"\xff" + segment(0xC2, struct.pack(">BHHB", 8, 30, 50, 3) + b"x" * 9), 1500),
+        "broken jpeg": (b"\xff\xd8\xff\xe0\x00", None), "no frame": (b"\xff\xd8" + segment(0xDA, b""), None),
+        "extended": (b"RIFF....WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (199).to_bytes(3, "little"), 20_000),
+        "lossless": (b"RIFF....WEBPVP8L" + b"\0" * 4 + b"/" + (9 | 19 << 14).to_bytes(4, "little"), 200),
+        "lossy": (b"RIFF....WEBPVP8 " + b"\0" * 10 + struct.pack("<HH", 16, 9), 144),
+        "tiff": (b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + entry(256, 3, 70) + entry(257, 4, 80), 5600), "short tiff": (b"MM\0*", None), "text": (b"hello", None),
+    }
+    for name, (body, pixels) in files.items():
+        (tmp_path / name).write_bytes(body)
+        assert pixels_of(str(tmp_path / name), body[:64]) == pixels, name
+
+
+def test_lines_of_a_placed_page(spark):
+    """Rejected tables leave their lines; lines are put in order; accepted tables replace what lies in them."""
+    from folio.operators import geometry
+    from folio.schema import PARSED
+
+    line = lambda text, x, y: {"kind": "line", "text": text, "x0": x, "y0": y, "x1": x + 10.0, "y1": y + 8.0}
+    table = lambda cells, y: {"kind": "table", "cells": cells, "x0": 0.0, "y0": y, "x1": 100.0, "y1": y + 20.0}
+    page = {"number": 1, "width": 100.0, "height": 200.0, "source": "text", "image_ratio": 0.0, "lines": [], "elements": [line("below", 5.0, 90.0), line("right", 50.0, 10.0), line("left", 5.0, 10.04), line("cell", 20.0, 45.0), line(" ", 1.0, 1.0), line("loose", 9.0, 125.0), table([["a", None], ["b", "c  d"]], 40.0), table([["", None], [None, "x"]], 120.0), {"kind": "image", "x0": -50.0, "y0": 100.0, "x1": 50.0, "y1": 300.0}]}
+    full = {"extractor": "pdf", "layout": "placed", "page_label": "Page", "total_pages": 2, "partial": False, "warnings": [], "pages": [page, page | {"number": 2, "elements": [table([["", ""]], 0.0)]}]}
+    found = spark.createDataFrame([(full,)], f"d {PARSED.simpleString()}").select(geometry.assembled(F.col("d"), 12).alias("d")).first()["d"]
+    assert [x["text"] for x in found["pages"][0]["lines"]] == ["left", "right", "", "| a |  |", "|---|---|", "| b | c d |", "", "below", "loose"]
+    assert found["pages"][0]["image_ratio"] == 0.25 and found["has_tables"] and found["text_layer"] == "mixed" and found["pages_needing_ocr"] == [2] and found["image_heavy_pages"] == []
+    assert found["warnings"] == ["page 2: tables can't be relied on, kept as text"]
