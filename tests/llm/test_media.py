@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -197,8 +198,23 @@ def test_operator(spark, odd, empty):
         p = media.payload_of(by_digest[r["payload_sha256"]])
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(by_digest[r["payload_sha256"]]), len(p), zlib.crc32(p[-64:]))
         rgb = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
-        assert media.feature_of(rgb) == r["feature"]
+        assert media.feature_of(rgb.shape[1], rgb.shape[0], media.sums_of(rgb)) == r["feature"]
     equal = {}
     for r in got:  # equal texts, equal values
         assert equal.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
     assert media.read_back(media.stored(empty)).count() == 0
+
+
+def test_long_payloads_are_sliced(monkeypatch):
+    """A long payload is several files, each read back alone; together they give the payload and one tensor."""
+    whole = [random.Random(1).randbytes(n) for n in (64 * 1000, 64 * 7, 64 * 24 * 41)]
+    monkeypatch.setattr(media, "SLICE_BYTES", 64 * 6 * 40)
+    stored = media.to_media(whole)
+    assert [len(media.files_in(x)) for x in stored] == [5, 1, 5]
+    for payload, form in zip(whole, stored, strict=True):
+        (found,) = media.contents([form], True)
+        assert (found.size, found.digest.hexdigest(), found.tail) == (len(payload), hashlib.sha256(payload).hexdigest(), payload[-64:])
+        rgb = np.frombuffer(b"".join(found.rgb), np.uint8).reshape(found.height, found.width, 3)
+        assert (media.sums_of(rgb) == found.sums).all()
+    together = media.contents(stored, False)
+    assert [x.digest.hexdigest() for x in together] == [hashlib.sha256(x).hexdigest() for x in whole]
