@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.util import Scratch, bounded_batches, join_checked, only, text_batches
+from folio.llm.util import BROADCAST_BYTES, Scratch, bounded_batches, join_checked, only, text_batches
 
 #: ASCII white space, as bytes.strip() takes it.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -27,7 +27,10 @@ BATCHES, FANOUT = 4, 2
 #: Lines for each bucket of the runs, about: a run is one file a bucket.
 BUCKET_LINES = 250_000
 
-LINE_SCHEMA = "batch int, doc_id long, version long, line_no int, hash binary"
+#: Common lines that may hold more than an even share of all rows: those in at least one of so many rows, so at most as many.
+HOT_LINES = 10_000
+
+LINE_SCHEMA = "doc_id long, version long, line_nos array<int>, hash binary, batch int"
 
 
 def line_key(line: bytes) -> bytes:
@@ -40,23 +43,28 @@ def _batch_of(doc_id: int | None, batches: int) -> int:
 
 
 def lines(docs: DataFrame, batches: int = 1, least_points: int = LEAST_POINTS) -> DataFrame:
-    """(batch, doc_id, version, line_no, hash) of every line whose key has least_points code points or more.
+    """(doc_id, version, line_nos, hash, batch) of every document's keys with least_points code points or more, and where they stand.
 
-    hash is a 16-byte digest of the key; version is a hash of the text, which tells apart rows that share a doc_id.
+    hash is a 16-byte digest of the key; version is a hash of the text, which tells apart rows that share a doc_id. A line that
+    a document repeats is one row.
     """
     bounded_batches(docs.sparkSession)
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(it):
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+            doc_ids, versions, places, hashes, numbers = [], [], [], [], []
             for doc_id, version, text in zip(part.column("doc_id").to_pylist(), part.column("version").to_pylist(), texts, strict=True):
-                batch = _batch_of(doc_id, batches)
+                own: dict[bytes, list[int]] = {}
                 for i, line in enumerate(text.split(b"\n")):
                     key = line_key(line)
                     if len(key) >= least_points and (len(key) >= 4 * least_points or len(key.decode("utf-8", "replace")) >= least_points):
-                        for column, value in zip(out, (batch, doc_id, version, i, hashlib.blake2b(key, digest_size=16).digest()), strict=True):
-                            column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["batch", "doc_id", "version", "line_no", "hash"])
+                        own.setdefault(hashlib.blake2b(key, digest_size=16).digest(), []).append(i)
+                doc_ids += [doc_id] * len(own)
+                versions += [version] * len(own)
+                hashes += own
+                places += own.values()
+                numbers += [_batch_of(doc_id, batches)] * len(own)
+            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.binary()), pa.array(numbers, pa.int32())], names=["doc_id", "version", "line_nos", "hash", "batch"])
 
     return only(docs, "doc_id", "text").withColumn("version", F.xxhash64("text")).mapInArrow(split, LINE_SCHEMA)
 
@@ -141,40 +149,59 @@ def first_seen(runs: LineRuns, docs: DataFrame) -> DataFrame:
     entries = scratch.write(entries_of(own), "entries")
     fresh = scratch.write(runs.new_entries(entries).select("hash"), "fresh")
     runs.add(entries)
-    return own.join(fresh, "hash", "left_semi")
+    return own.join(fresh, "hash", "left_semi").withColumn("line_no", F.explode("line_nos")).drop("line_nos")
+
+
+def with_common(found: DataFrame, common: DataFrame, n_rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """found (hash, ...) with the last_doc of its common lines (hash, n_docs, last_doc), others dropped.
+
+    Common lines are broadcast if their measured size is at most `limit`. Beyond, only those that hold a HOT_LINES-th of all
+    rows are, of which there can't be more than HOT_LINES; none of the others is large enough to make a task of its own.
+    """
+    size = 64 * common.count()
+    rest = common.select("hash", "last_doc")
+    if size <= limit:
+        return found.join(F.broadcast(rest), "hash")
+    least = max(1, -(-n_rows // HOT_LINES))
+    hot = found.join(F.broadcast(common.where(F.col("n_docs") >= least).select("hash", "last_doc")), "hash")
+    return hot.unionByName(found.join(common.where(F.col("n_docs") < least).select("hash", "last_doc").hint("merge"), "hash"))
 
 
-def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT, least_points: int = LEAST_POINTS) -> tuple[DataFrame, int]:
+def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT, least_points: int = LEAST_POINTS, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
     """(doc_id, version, dropped: sorted line numbers) of the documents that lose lines, and the table's size in bytes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    found = scratch.write(lines(docs, batches, least_points), "lines")
-    runs = LineRuns(spark, max(1, -(-found.count() // BUCKET_LINES)), fanout)
-    for i in range(batches):
-        runs.add(runs.new_entries(entries_of(found.where(F.col("batch") == i)), settled=least_docs))
-    known = runs.contents()
-    common = known.where(F.col("n_docs") >= least_docs).select("hash", "last_doc")
-    dropped = found.join(common.hint("merge"), "hash").where("NOT doc_id <=> last_doc").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    # A batch is a folder of the table, so each batch reads its own rows only.
+    found = scratch.write(lines(docs, batches, least_points), "lines", "batch")
+    n_rows = found.count()
+    runs = LineRuns(spark, max(1, -(-n_rows // BUCKET_LINES)), fanout)
+    try:
+        for i in range(batches):
+            runs.add(runs.new_entries(entries_of(found.where(F.col("batch") == i)), settled=least_docs))
+        common = scratch.write(runs.contents().where(F.col("n_docs") >= least_docs).select("hash", "n_docs", "last_doc"), "common")
+    finally:
+        runs.close()
+    dropped = with_common(found, common, n_rows, limit).where("NOT doc_id <=> last_doc").groupBy("doc_id", "version").agg(F.sort_array(F.flatten(F.collect_set("line_nos"))).alias("dropped"))
     dropped = scratch.write(dropped, "dropped")
-    runs.close()
     scratch.drop("lines")
+    scratch.drop("common")
     size = dropped.agg(F.sum(F.size("dropped") * 4 + 40)).first()[0] or 0
     return dropped, size
 
 
-def kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT, least_points: int = LEAST_POINTS, texts: bool = True, **checked: int) -> DataFrame:
+def kept_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT, least_points: int = LEAST_POINTS, texts: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every document without the lines that repeat across documents.
 
     A key (see line_key) of at least least_points code points that at least least_docs documents hold loses all its lines
     except those of the largest doc_id holding it. Returns doc_id, n_lines (before), n_dropped, kept_sha256 and, with
     texts, the kept text. Null or empty text is one empty line. Rows that repeat a doc_id count as one document, with a row
-    each; all rows with a null doc_id count as one document that is never the largest. An empty table gives no rows; other
-    columns are ignored.
+    each; all rows with a null doc_id count as one document that is never the largest. Very long texts are split whole, one at a
+    time. An empty table gives no rows; other columns are ignored.
     """
-    dropped, size = repeated_lines(docs, least_docs, batches, fanout, least_points)
+    dropped, size = repeated_lines(docs, least_docs, batches, fanout, least_points, limit)
     docs = only(docs, "doc_id", "text")
     key = F.concat_ws(":", "doc_id", "version").alias("row_key")  # doc_id may be null
-    joined = join_checked(docs.withColumn("version", F.xxhash64("text")).select(key, "doc_id", "text"), dropped.select(key, "dropped"), "row_key", "left", size, **checked)
+    joined = join_checked(docs.withColumn("version", F.xxhash64("text")).select(key, "doc_id", "text"), dropped.select(key, "dropped"), "row_key", "left", size, limit)
 
     def rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in text_batches(it):

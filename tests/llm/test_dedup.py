@@ -79,6 +79,16 @@ def test_line_dedup(odd, empty, batches, fanout, limit):
     assert line_dedup.kept_lines(empty).count() == 0
 
 
+def test_hot_lines(spark, monkeypatch):
+    """A line in a third of all documents: joined apart from the rest, with the result of one broadcast."""
+    line = lambda i: f"this is line number {i} and it is quite long enough to count"
+    docs = spark.createDataFrame([(i, f"{line('hot') if i % 3 == 0 else i}\n{line(('six', i // 6))}\n{line(i)}\n{line(('six', i // 6))}") for i in range(240)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in line_dedup.kept_lines(docs, texts=False).collect())
+    assert sum(r[2] for r in want) == 79 + 40 * 5 * 2
+    monkeypatch.setattr(line_dedup, "HOT_LINES", 20)
+    assert sorted(tuple(r) for r in line_dedup.kept_lines(docs, texts=False, limit=0).collect()) == want
+
+
 def test_runs_tell_new_lines_from_known(spark):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     line = lambda c: c * 50
