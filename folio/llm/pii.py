@@ -1,7 +1,7 @@
 """Personal data by four known shapes and a semi-Markov conditional random field.
 
-The field sees windows around digits and @: everywhere else no candidate segment exists, and a dynamic program over the whole
-text would pass through. A window's segmentation is a chain of single outside tokens and entity segments of at most
+The field sees windows around digits, @ and what stands for it (a bracketed "at", the word "dot"): everywhere else no
+candidate segment exists, and a dynamic program over the whole text would pass through. A window's segmentation is a chain of single outside tokens and entity segments of at most
 MOST_TOKENS tokens; a segment's score is the sum of the weights of features of the whole span (shape, digits, separators,
 checks such as Luhn's, the words before and after), so boundaries and types are chosen jointly. It is trained by maximum
 likelihood (forward-backward over segments, in numpy) on windows of a bounded sample of documents, whose entities are what
@@ -30,12 +30,17 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
-TRIGGER = re.compile("[0-9@]")
+#: Around what windows lie: digits, @, a bracketed "at" and the word "dot".
+TRIGGER = re.compile(r"[0-9@]|[(\[{][\x20]?[Aa][Tt][\x20]?[)\]}]|(?<![A-Za-z])(?:dot|DOT)(?![A-Za-z])")
 
 #: Tokens of an entity at most; whitespace-separated chunks of context on each side of a window.
-MOST_TOKENS, CONTEXT = 20, 2
+MOST_TOKENS, CONTEXT = 26, 2
 #: Documents with a match and without one that the field is trained on at most, passes, step and weight decay.
-TRAIN_WITH, TRAIN_WITHOUT, PASSES, STEP, DECAY = 160, 60, 4, 0.3, 1e-3
+TRAIN_WITH, TRAIN_WITHOUT, PASSES, STEP, DECAY = 160, 60, 10, 0.3, 1e-3
+#: Ways in which each training entity is rewritten.
+REWRITES = 7
+#: Longest training documents in characters and training windows in tokens.
+TRAIN_LENGTH, TRAIN_TOKENS = 20_000, 400
 FEATURES = 1 << 14
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.DOTALL)
 
@@ -130,33 +135,53 @@ def features(tokens: list[str], i: int, j: int) -> list[int]:
     before = next((t.lower() for t in reversed(tokens[max(0, i - 4) : i]) if not t.isspace()), "^")
     after = tokens[j] if j < len(tokens) else "$"
     marks = "".join(sorted(set(re.sub("[A-Za-z0-9]", "", span))))
+    words = [t.lower() for t in tokens[i:j]]
+    joins = ("@", "at", "dot", "(", ")", "[", "]", "{", "}")
+    # Spaces that don't stand beside what joins an address, and whether it ends in a dot and a few letters.
+    loose = sum(t.isspace() and 0 < k < len(words) - 1 and words[k - 1] not in joins and words[k + 1] not in joins for k, t in enumerate(words))
+    rest = [t for t in words if not t.isspace() and t not in "()[]{}"]
+    ending = len(rest) > 2 and rest[-2] in (".", "dot") and rest[-1].isalpha() and 2 <= len(rest[-1]) <= 4
     named = [
-        "bias", "shape=" + _shape(span)[:24], f"digits={min(len(digits), 20)}", "groups=" + ",".join(str(len(g)) for g in groups[:6]),
+        f"address={loose > 0},{ending},{span.count('@') + words.count('at')}", f"loose={min(loose, 3)},{len(digits) >= 7}", "bias", "shape=" + _shape(span)[:24], f"digits={min(len(digits), 20)}", "groups=" + ",".join(str(len(g)) for g in groups[:6]),
         "marks=" + marks[:8], f"at={span.count('@')}", f"dots={min(span.count('.'), 4)}", f"first={_shape(tokens[i][:1])}", f"last={_shape(tokens[j - 1][-1:])}",
         f"luhn={14 <= len(digits) <= 19 and len(digits) + len(marks) >= len(span) - 5 and luhn(digits)}", f"octets={len(groups) == 4 and all(int(g[:9]) < 256 for g in groups)},{marks}",
         f"phone={10 <= len(digits) <= 15},{bool(re.search('[A-Za-z@]', span))}", f"cut={_shape(tokens[j - 1][-1:])}{_shape(after[:1])}", f"open={_shape(tokens[i - 1][-1:]) if i else '^'}{_shape(tokens[i][:1])}",
+        "links=" + ",".join(t for t in (x.lower() for x in tokens[i:j]) if t in ("at", "dot"))[:24], f"groups={len(groups)},{marks[:4]},{max(map(len, groups), default=0) <= 3}",
         "word=" + (before if before.isalpha() else _shape(before)[:3]), f"balanced={span.count('(') == span.count(')')}",
     ]
     return [zlib.crc32(x.encode()) % FEATURES for x in named]
 
 
+def at_marks(tokens: list[str]) -> list[bool]:
+    """Which tokens stand between the two parts of an address: @, or "at" in brackets or, before a "dot", between spaces."""
+    words = [t.lower() for t in tokens]
+    out = [t == "@" for t in tokens]
+    for i, w in enumerate(words):
+        if w == "at" and 0 < i < len(words) - 1:
+            before, after = (next((t for t in side if not t.isspace()), " ") for side in (words[max(0, i - 2) : i][::-1], words[i + 1 : i + 3]))
+            out[i] = after in ")]}" if before in "([{" else "dot" in words[i + 1 : i + 13]
+    return out
+
+
 def segments(tokens: list[str]) -> list[tuple[int, int]]:
-    """Candidate entities: at most MOST_TOKENS tokens, from a letter, digit, + or ( to a letter, digit or ), with an @ or seven digits."""
-    out = []
+    """Candidate entities: at most MOST_TOKENS tokens, from a letter, digit, + or ( to a letter, digit or ), with a mark between
+    the parts of an address, seven digits or four groups of them."""
+    out, between = [], at_marks(tokens)
     for i, first in enumerate(tokens):
         if not (first.isalnum() or first in "+("):
             continue
-        n_digits = marks = 0
+        n_digits = marks = n_groups = 0
         for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
             token = tokens[j - 1]
             if token.isspace() and (len(token) > 1 or token != " "):
                 break
             if token.isdigit():
                 n_digits += len(token)
-            marks += token == "@"
+                n_groups += 1
+            marks += between[j - 1]
             if n_digits > 24 or marks > 1:
                 break
-            if (marks or n_digits >= 7) and (token.isalnum() or token == ")"):
+            if (marks or n_digits >= 7 or n_groups == 4) and (token.isalnum() or token == ")"):
                 out.append((i, j))
     return out
 
@@ -228,11 +253,17 @@ def rewritten(kind: int, span: str, turn: int) -> str:
     """Another way to write an entity."""
     digits = NOT_DIGIT.sub("", span)
     if kind == 0:
-        return span
+        local, domain = span.split("@", 1)
+        if turn % 2:  # as seen, or of two parts
+            domain = ".".join(domain.split(".")[-2:])
+        if turn % 3:
+            local = local.replace(".", "_" if turn % 3 == 1 else "")
+        at, dot = ((" (at) ", " (dot) "), (" [at] ", "."), (" at ", " dot "), ("[at]", "[dot]"), (" @ ", "."), ("(at)", "."), (" AT ", " DOT "))[turn % 7]
+        return local + at + domain.replace(".", dot)
     if kind == 1:
-        return span
+        return span.replace(".", ("[.]", " . ", " dot ", "(.)")[turn % 4])
     if kind == 2:
-        return (" ", "-")[turn % 2].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return (" ", "-", ".", "_")[turn % 4].join(digits[i : i + 4] for i in range(0, len(digits), 4))
     local = digits[-10:]
     return (f"({local[:3]}) {local[3:6]}-{local[6:]}", f"{local[:3]}-{local[3:6]}-{local[6:]}", f"{local[:3]}.{local[3:6]}.{local[6:]}", f"1-{local[:3]}-{local[3:6]}-{local[6:]}")[turn % 4]
 
@@ -247,16 +278,16 @@ def examples(text: str, turn: int) -> Iterator[tuple[list[str], set[tuple[int, i
         for s in own:
             if not kept or s[0] >= kept[-1][2]:
                 kept.append(s)
-        for rewrite in (False, True) if kept else (False,):
+        for rewrite in (None, *range(turn, turn + REWRITES)) if kept else (None,):
             tokens, gold, at = [], set(), begin
             for start, kind, end in kept:
                 tokens += TOKEN.findall(text[at:start])
-                inner = TOKEN.findall(rewritten(kind, text[start:end], turn) if rewrite else text[start:end])
+                inner = TOKEN.findall(text[start:end] if rewrite is None else rewritten(kind, text[start:end], rewrite))
                 gold.add((len(tokens), kind, len(tokens) + len(inner)))
                 tokens += inner
                 at = end
             tokens += TOKEN.findall(text[at:stop])
-            if len(tokens) <= 400:
+            if len(tokens) <= TRAIN_TOKENS:
                 yield tokens, gold
 
 
@@ -267,6 +298,8 @@ def counterexamples(turn: int) -> list[str]:
     return [
         f"on {year}-{month:02}-{day:02} and {day:02}.{month:02}.{year} at {d[3] % 24:02}:{d[4] % 60:02}:{d[5] % 60:02}", f"between {day}/{month}/{year} and {year}-{month}", f"about {d[3] % 9000:,}.{d[4] % 100:02} of {d[5] % 10**7:,} in {year}",
         f"order {d[6] % 10**8} of {year} costs {d[7] % 10**6}.{d[0] % 100:02}", f"version {d[1] % 20}.{d[2] % 20}.{d[3] % 9} build {d[4] % 10**7}", f"ISBN 978-{d[5] % 9}-{d[6] % 90 + 10}-{d[7] % 10**6:06}-{d[0] % 9}",
+        f"we met at noon on day {day} and put a dot at line {d[1] % 90} of page {d[2] % 400}", f"look (at) figure {d[3] % 40} and at the dot in table {month}", f"section {d[4] % 9} dot {d[5] % 20} and rows {d[6] % 90}, {d[7] % 90}, {day}, {month} of {d[1] % 300}",
+        f"scores were {d[0] % 10} {d[1] % 10} {d[2] % 10} {d[3] % 10} at home, {d[4] % 40}-{d[5] % 40} and {d[6] % 40}:{d[7] % 40} away", f"sold at {d[3] % 900}.{d[4] % 100:02} dot matrix printers at {d[6] % 90} each",
     ]
 
 
@@ -295,7 +328,7 @@ def training_texts(docs: DataFrame) -> list[str]:
     """The bounded training sample: documents in the order of a hash, with and without a match of the known shapes."""
     text = F.col("text")
     shaped = text.rlike(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([\x20-]?[0-9]){13}|\+[0-9]")
-    short = only(docs, "doc_id", "text").where(F.length(text) <= 20_000)
+    short = only(docs, "doc_id", "text").where(F.length(text) <= TRAIN_LENGTH)
     order = (F.xxhash64("doc_id", "text"), "doc_id")
     some = lambda rows, n: rows.select("doc_id", F.xxhash64("text").alias("place"), order[0].alias("turn")).orderBy("turn", "doc_id").limit(n)
     # Ids first, so that only chosen texts move: at most TRAIN_WITH + TRAIN_WITHOUT rows.
@@ -344,8 +377,9 @@ def personal_data(docs: DataFrame, model: SemiMarkov) -> DataFrame:
     """Every document (doc_id, text) with its personal data.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (of the known shapes), base_sha256, spans (kind:start:stop in code points,
-    comma-joined, by start and then kind). Null or empty text has none. Every row gives one row; an empty table gives none;
-    other columns are ignored.
+    comma-joined, by start and then kind). Null or empty text has none; very long texts are scanned whole, of a chunk without
+    white space the 40 characters next to a digit or @ are the field's context. Every row gives one row, repeated ones too; an
+    empty table gives none; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))  # of fixed size
@@ -366,7 +400,7 @@ def personal_data(docs: DataFrame, model: SemiMarkov) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-TRIGGER_BYTES = re.compile(b"[0-9@]")
+TRIGGER_BYTES = re.compile(TRIGGER.pattern.encode())
 
 
 def op7_personal_data(spark, sf_dir: str) -> DataFrame:
