@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.util import Generations, Scratch, bounded_batches, gathered, only, text_batches
+from folio.llm.util import Generations, Scratch, bounded_batches, gathered, lean, only, text_batches
 
 SEQUENCE_TOKENS = 2048
 #: Unfilled tokens that a sequence may have to be emitted before the last round.
 SLACK = 8
 #: Items that one task packs in a round, and chunk encodings that a worker keeps.
-ROUND_ITEMS, CACHED_CHUNKS = 50_000, 700_000
+ROUND_ITEMS, CACHED_CHUNKS = 50_000, 400_000
 #: Bytes of text whose new words are encoded together.
-BATCH_TEXT_BYTES = 8 << 20
+BATCH_TEXT_BYTES = 4 << 20
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ITEM_SCHEMA = "full boolean, tokens int, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
@@ -165,7 +165,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, end_i
                         column.append(value)
             yield pa.record_batch([pa.array(x, t.type) for x, t in zip(out, PIECE_TYPE, strict=True)], names=[t.name for t in PIECE_TYPE])
 
-    return only(docs, "doc_id", "text").mapInArrow(cut, PIECE)
+    return only(docs, "doc_id", "text").mapInArrow(lean(cut), PIECE)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, slack: int = SLACK, round_items: int = ROUND_ITEMS) -> DataFrame:
@@ -192,7 +192,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, slack: int =
 
         return again
 
-    done, level = [], scratch.write(pieces.mapInArrow(local, ITEM_SCHEMA), "round-0")
+    done, level = [], scratch.write(pieces.mapInArrow(lean(local), ITEM_SCHEMA), "round-0")
 
     def open_items(frame: DataFrame) -> int:
         """Underfull sequences, or a quarter of their pieces if that is more: what bounds a task's memory."""
@@ -207,7 +207,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, slack: int =
         # Dealt by a hash of the first piece: groups mix residues of all lengths, and a retried task finds the same items.
         residue = level.where("NOT full").repartition(groups, F.xxhash64(F.col("pieces")[0]["doc_id"], F.col("pieces")[0]["piece"], F.lit(i)))
         i += 1
-        level = scratch.write(residue.mapInArrow(merged(last), ITEM_SCHEMA), f"round-{i}")
+        level = scratch.write(residue.mapInArrow(lean(merged(last)), ITEM_SCHEMA), f"round-{i}")
         left, before = (0 if last else open_items(level)), left
     done.append(level.where("full"))
     out = done[0]
@@ -220,8 +220,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, slack: int =
 def packed(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE_TOKENS, **options: int) -> DataFrame:
     """Packs all documents (doc_id, text) into sequences of at most `capacity` tokens; one row per piece.
 
-    Null or empty text is the end id alone. Longer documents are cut into pieces of `capacity`, the last one shorter.
-    Repeated rows are packed each, with equal doc_id and piece. An empty table gives no rows; other columns are ignored.
+    Null or empty text is the end id alone. Longer documents are cut into pieces of `capacity`, the last one shorter; very long
+    texts are encoded whole. Repeated rows are packed each, with equal doc_id and piece; of items of one length the smaller
+    doc_id goes first. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pieces")
     return pack_pieces(scratch.write(pieces_of(docs, path or tokenizer_path(), capacity), "pieces"), capacity, **options)

@@ -304,7 +304,7 @@ def forest_links(buckets: DataFrame, most_bits: int, tasks: int, block: int) ->
     """Links inside buckets, or blocks of large ones: a spanning forest of each, of least differing bits.
 
     Whatever hangs together at any number of bits up to most_bits also does over links of the forest with no more bits. Near
-    pairs are held a million at a time: with the forest so far, they give the next.
+    pairs are held some hundred thousand at a time: with the forest so far, they give the next.
     """
 
     def compare(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -324,7 +324,7 @@ def forest_links(buckets: DataFrame, most_bits: int, tasks: int, block: int) ->
             if near.any():
                 links.append((at[near], at[near] + step, bits[near]))
                 held += len(links[-1][0])
-                if held > 1_000_000:
+                if held > 300_000:
                     thin()
                     held = len(links[0][0])
             step += 1
@@ -472,15 +472,15 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(lean(gathered), "doc_id long, shingles array<long>")
 
 
-def held_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose texts are similar."""
-    pairs = scratch.write(pairs, f"{name}-pairs")
+def held_pairs(docs: DataFrame, pairs: DataFrame, listed: DataFrame, words: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar: sets of shingles move only for pairs that sketches don't turn away."""
+    pairs = scratch.write(jaccard.near_enough(pairs, listed, similarity), f"{name}-pairs")
     ends = scratch.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ends")
-    sets = scratch.write(shingle_sets(join_checked(docs, ends, "doc_id", "left_semi", 16 * ends.count()), words).dropDuplicates(["doc_id"]), f"{name}-shingles")
+    sets = scratch.write(shingle_sets(join_checked(docs, ends, "doc_id", "left_semi", 16 * ends.count()), words), f"{name}-shingles")
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"{end}_set")), end)
     both = F.size(F.array_intersect("a_set", "b_set"))
-    held = scratch.write(pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"), f"{name}-held")
+    held = scratch.write(pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b").distinct(), f"{name}-held")
     scratch.drop(f"{name}-shingles")
     return held
 
@@ -507,19 +507,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mos
     for end in ("a", "b"):
         near = near.join(distinct.select(F.col("fp").alias(end), F.col("first_id").alias(f"{end}_id")), end)
     equal = marked.join(distinct, "fp").where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    listed = scratch.write(jaccard.prefixes(docs, words, similarity, jaccard.common(docs, words, marked.count())).dropDuplicates(["doc_id"]), "prefixes")
+    n, n_ids = marked.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    listed = jaccard.prefixes(docs, words, similarity, jaccard.common(docs, words, n))
+    listed = scratch.write(listed if n == n_ids else listed.dropDuplicates(["doc_id"]), "prefixes")
     same = listed.join(listed.groupBy("whole").agg(F.min("doc_id").alias("b")), "whole").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     pairs = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(equal).unionByName(same).distinct()
-    held = held_pairs(docs, pairs, words, similarity, scratch, "first")
+    held = held_pairs(docs, pairs, listed, words, similarity, scratch, "first")
     label = scratch.write(components(held, Scratch(docs.sparkSession, "similar")), "first-labels")
     keys = jaccard.labelled(listed, label).select(F.explode("keys").alias("key"), "doc_id", "label")
-    crossing = scratch.write(jaccard.crossing(keys), "crossing")
+    crossing = jaccard.crossing(keys, scratch, "crossing")
     for name, nearest in (("some", NEAREST), ("all", 0)):
-        found = held_pairs(docs, jaccard.candidates(crossing, listed, similarity, _tasks(docs), nearest, block), words, similarity, scratch, name)
+        found = held_pairs(docs, jaccard.candidates(crossing, listed, similarity, _tasks(docs), nearest, block), listed, words, similarity, scratch, name)
         held = held.unionByName(found)
         label = scratch.write(components(held, Scratch(docs.sparkSession, "similar")), f"{name}-labels")
         if nearest:
-            crossing = scratch.write(jaccard.crossing(jaccard.labelled(crossing.drop("label", "held"), label)), "crossing-left")
+            crossing = jaccard.crossing(jaccard.labelled(crossing.drop("label", "held"), label), scratch, "crossing-left")
     return label
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.util import Generations, bounded_batches, only, text_batches
+from folio.llm.util import Generations, bounded_batches, lean, only, text_batches
 
 #: Buckets of n-grams, embedding length, n-gram lengths, words of a window.
 BUCKETS, WIDTH, NGRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 3
@@ -33,7 +33,8 @@ LEAST_DOCS = 3
 #: Documents whose words are in memory as vectors at a time in training.
 CHUNK_DOCS = 200
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-CACHED_WORDS = 400_000
+#: Words' scores that a scoring task keeps, and bytes of text that are words at a time.
+CACHED_WORDS, SCORE_BYTES = 400_000, 2 << 20
 
 
 def ngram_ids(word: str) -> list[int]:
@@ -182,7 +183,7 @@ def _rated(docs: DataFrame, model: Model, rows, schema) -> DataFrame:
 
     def rate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Model(*known.value), Generations(CACHED_WORDS)
-        for part, texts in text_batches(it):
+        for part, texts in text_batches(it, most=SCORE_BYTES):
             split = [words_of(x.decode("utf-8", "replace")) for x in texts]
             missing = seen.missing({w for words in split for w in words})
             for i in range(0, len(missing), 20_000):
@@ -190,7 +191,7 @@ def _rated(docs: DataFrame, model: Model, rows, schema) -> DataFrame:
             now = seen.now
             yield rows(part, [model.score([now[w] for w in words]) for words in split])
 
-    return docs.mapInArrow(rate, schema)
+    return docs.mapInArrow(lean(rate), schema)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

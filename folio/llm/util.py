@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space that all contracts here mean by "white space", as a Java and RE2 class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Most bytes of text that one Arrow batch hands to Python at once (one longer text still goes alone).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A join side is broadcast only if its measured size is at most this; larger sides take the sort-merge join.
 BROADCAST_BYTES = 8 << 20
 
@@ -111,6 +111,16 @@ def lean(stage: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def rested(spark: SparkSession) -> None:
+    """Has the executors collect their heaps, so that what a stage before no longer needs goes back to the machine.
+
+    Python workers need their memory beside the heap, which else only ever grows. As many tasks as there are cores meet about
+    every executor; one that is missed only keeps what it has.
+    """
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def gathered(batches: Iterator[tuple[pa.RecordBatch, list[bytes]]], most: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Joins what text_batches() yields up to `most` text bytes."""
     parts: list[pa.RecordBatch] = []

@@ -112,3 +112,20 @@ def test_copies_with_repeated_ids(spark):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
     got = sorted((tuple(r)[:2] for r in exact_dedup.without_copies(frame).collect()), key=repr)
     assert got == sorted([(2, "a  b"), (1, "c"), (None, "d "), (4, "e"), (6, " "), (7, "f")], key=repr)
+
+
+def test_sketches_turn_no_pair_away():
+    """Fine sketches of any two lengths differ in no more classes than the sets do in hashes."""
+    import numpy as np
+
+    from folio.llm import jaccard
+
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 600, 3000, 40_000):
+        own = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        for change in (0, 1, n // 5, n):
+            other = np.unique(np.concatenate([own[change // 2 :], rng.integers(0, 1 << 64, change, np.uint64, endpoint=False)]))
+            apart = len(np.setxor1d(own, other))
+            assert jaccard.odd_classes(jaccard.fine_sketch(own), jaccard.fine_sketch(other)) <= apart
+            if apart > n:
+                assert jaccard.odd_classes(jaccard.fine_sketch(own), jaccard.fine_sketch(other)) > 0.25 * n
