@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import exact_dedup, packing, secrets, simhash, toxicity
-from folio.llm.util import Scratch
+from folio.llm.util import Scratch, rested
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The text alone decides, so equal texts, repeated rows and rows that share a doc_id fare alike. Null, empty and wordless texts
     score by the bias alone; very long ones are read whole. An empty table gives no rows; further columns come back as they are.
     """
+    rested(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.trained(docs, labels))
 
@@ -40,6 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null, empty and blank texts are similar to each other; very long ones count whole; exactly 0.8 is similar. An empty table
     gives no rows; further columns come back as they are.
     """
+    rested(spark)
     return simhash.without_near_copies(docs)
 
 
@@ -59,6 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is packed, repeated ones and those without a doc_id too; null and empty texts are one token; very long ones are cut
     into pieces. Ties in length go by arrival. An empty table gives no rows; further columns are ignored.
     """
+    rested(spark)
     return packing.packed(docs)
 
 
