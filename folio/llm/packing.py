@@ -24,9 +24,9 @@ SEQUENCE_TOKENS = 2048
 #: Unfilled tokens that a sequence may have to be emitted before the last round.
 SLACK = 8
 #: Items that one task packs in a round, and chunk encodings that a worker keeps.
-ROUND_ITEMS, CACHED_CHUNKS = 50_000, 400_000
+ROUND_ITEMS, CACHED_CHUNKS = 50_000, 700_000
 #: Bytes of text whose new words are encoded together.
-BATCH_TEXT_BYTES = 4 << 20
+BATCH_TEXT_BYTES = 8 << 20
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ITEM_SCHEMA = "full boolean, tokens int, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
@@ -55,14 +55,14 @@ class ChunkEncoder:
     PART = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ\t-\r ]+")
     WORDS_A_CALL = 64
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         ends = [i for s, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if s.endswith("</w>")]
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[ends] = True
-        self.known = Generations(CACHED_CHUNKS)
+        self.known = Generations(cached or CACHED_CHUNKS)
 
     def _alone(self, chunks: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -100,8 +100,8 @@ class ChunkEncoder:
 
 
 @cache
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def chunk_encoder(path: str, cached: int | None = None) -> ChunkEncoder:
+    return ChunkEncoder(path, cached)
 
 
 class BestFit:
@@ -149,13 +149,16 @@ def _batches_of(packed: list[tuple[int, list]], capacity: int, slack: int, last:
         yield pa.RecordBatch.from_pydict({"full": [last or t >= capacity - slack for t, _ in some], "tokens": [t for t, _ in some], "pieces": [p for _, p in some]}, schema=ITEM_TYPE)
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = 0) -> DataFrame:
-    """The pieces of every document: its ids and the end id, cut into pieces of `capacity` only where it is longer."""
+def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = 0, cached: int | None = None, batch_bytes: int = BATCH_TEXT_BYTES) -> DataFrame:
+    """The pieces of every document: its ids and the end id, cut into pieces of `capacity` only where it is longer.
+
+    `cached` (CACHED_CHUNKS) and `batch_bytes` trade a worker's memory for time, never results.
+    """
     bounded_batches(docs.sparkSession)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = chunk_encoder(path), np.asarray([end_id], "<u4").tobytes()
-        for part, texts in gathered(text_batches(it), BATCH_TEXT_BYTES):
+        encoder, end = chunk_encoder(path, cached), np.asarray([end_id], "<u4").tobytes()
+        for part, texts in gathered(text_batches(it), batch_bytes):
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode_batch(texts), strict=True):
                 ids += end
@@ -217,7 +220,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, slack: int =
     return rows.select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE_TOKENS, **options: int) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE_TOKENS, cached: int | None = None, batch_bytes: int = BATCH_TEXT_BYTES, **options: int) -> DataFrame:
     """Packs all documents (doc_id, text) into sequences of at most `capacity` tokens; one row per piece.
 
     Null or empty text is the end id alone. Longer documents are cut into pieces of `capacity`, the last one shorter; very long
@@ -225,7 +228,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE_TO
     doc_id goes first. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pieces")
-    return pack_pieces(scratch.write(pieces_of(docs, path or tokenizer_path(), capacity), "pieces"), capacity, **options)
+    return pack_pieces(scratch.write(pieces_of(docs, path or tokenizer_path(), capacity, 0, cached, batch_bytes), "pieces"), capacity, **options)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
