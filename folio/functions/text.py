@@ -99,5 +99,13 @@ def yaml_list(key: str, values: Column) -> Column:
     return F.when(F.size(values) == 0, f"{key}: []").otherwise(F.concat(F.lit(f"{key}:\n"), items))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals, rounded as printf does: its exact binary value, ties to even.
+
+    format_string rounds the shortest decimal half up instead.
+    """
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
+
+
 def percent(share: Column) -> Column:
-    return F.format_string("%.1f%%", 100 * share)
+    return F.concat(fixed(100 * share, 1), F.lit("%"))

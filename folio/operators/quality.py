@@ -30,7 +30,7 @@ def assess(pages: DataFrame, docs: DataFrame | None = None, doc: str = "doc", pa
     figures = {
         "replacement": F.concat(F.lit("replacement characters "), X.percent(share("fffd")), F.lit(" (over 1%)")),
         "private": F.concat(F.lit("private-use or unassigned characters "), X.percent(share("private")), F.lit(" (over 5%)")),
-        "split": F.concat(F.lit("mean token length "), F.format_string("%.2f", F.col("nonspace") / F.nullif(F.col("tokens"), F.lit(0))), F.lit(" (under 1.5)")),
+        "split": F.concat(F.lit("mean token length "), X.fixed(F.col("nonspace") / F.nullif(F.col("tokens"), F.lit(0)), 2), F.lit(" (under 1.5)")),
         "median": F.concat(F.lit("median characters of a page "), F.col("median").cast("string"), F.lit(f" (under {LOW_MEDIAN})")),
         "chars": F.concat(F.lit("characters "), F.col("chars").cast("string"), F.lit(f" (under {LOW_CHARS})")),
     }

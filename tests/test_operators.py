@@ -64,6 +64,17 @@ def test_quality_tiers(spark):
     assert {r["doc"]: r["reasons"] for r in got.collect()}["garbled"] == ["replacement characters 4.3% (over 1%)"]
 
 
+def test_quality_figures_round_as_printf(spark):
+    split = lambda n, long: " ".join(["ab"] * long + ["a"] * (n - long))
+    texts = {"1.025": split(200, 5), "1.075": split(200, 15), "1.125": split(200, 25), "1.375": split(200, 75), "6.25": "w" * 75 + "\ufffd" * 5, "6.75": "w" * 373 + "\ufffd" * 27, "9.25": "w" * 363 + "\ue000" * 37}
+    got = quality.assess(spark.createDataFrame([(k, 1, v) for k, v in texts.items()], "doc string, page_no int, text string"))
+    figures = {r["doc"]: [x.split(" (")[0].split(" ")[-1] for x in r["reasons"]] for r in got.collect()}
+    assert figures == {k: [f"{float(k):.2f}" if k < "2" else f"{float(k):.1f}%"] for k in texts}
+    assert [figures[k] for k in ("1.025", "1.125", "1.375", "6.25", "6.75", "9.25")] == [["1.02"], ["1.12"], ["1.38"], ["6.2%"], ["6.8%"], ["9.2%"]]
+    ratios = spark.range(20_000).selectExpr("id", "id / 16000 AS x").select("id", X.fixed(F.col("x"), 2).alias("two"), X.percent(F.col("x")).alias("percent"))
+    assert all((r["two"], r["percent"]) == (f"{r['id'] / 16000:.2f}", f"{r['id'] / 16000:.1%}") for r in ratios.collect())
+
+
 def test_running_heads(spark):
     pages = spark.createDataFrame([("d", i, 100.0) for i in range(1, 5)] + [("few", 1, 100.0)], "doc string, page_no int, height double")
     rows = [("d", i, n, t, y, y + 2) for i in range(1, 5) for n, (t, y) in enumerate([(f"PHYS {i}", 1.0), ("common body", 50.0), (f"Page {i}", 97.0), (str(i), 98.0)])]
